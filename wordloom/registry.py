@@ -5,6 +5,132 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import meta, text
+from .operators import concordance as c
+from .operators import layout, maintenance, segmenting
+from .plans import views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql.replace("$A", v.SQL)
+
+
+def _hits(s, d, q, **f):
+    return c.matches(v.segments_a(s, d), v.exams_a(s, d), q, **f)
+
+
+def _search(q, **f):
+    return lambda s, d: c.search(v.segments_a(s, d), v.exams_a(s, d), q, **({"limit": None} | f)).select("segment_id", "exam_id", "source", "year", "exam", "number", "matches")
+
+
+def _search_sql(q: str, where: str = "", tail: str = "") -> str:
+    return f"WITH $A SELECT segment_id, exam_id, source_label AS source, CAST(year AS INT) AS year, exam, number, CAST(len(list_filter(range(1, length(key) - {len(q) - 1} + 1), lambda i: substr(key, i, {len(q)}) = '{q}')) AS BIGINT) AS matches FROM ex WHERE contains(key, '{q}') {where} {tail}"
+
+
+_add("search_basic", _search("of the"), _search_sql("ofthe"))
+_add("search_short", _search("ß"), _search_sql("ß"))
+_add("search_filtered", _search("ofthe", subject="en", year=2017, exam="수능"), _search_sql("ofthe", "AND subject = 'en' AND year = 2017 AND exam LIKE '%수능%'"))
+_add("search_topk", _search("theand", limit=50), _search_sql("theand", "", "ORDER BY year DESC NULLS LAST, subject NULLS FIRST, number NULLS FIRST, segment_id LIMIT 50"))
+_add("overlap_count", _search("haha"), _search_sql("haha"))
+
+_forms = lambda q: "(" + "[ \\n\\t￼]*".join(q.replace(".", "[.]") if len(q) == 1 else [ch if ch != "." else "[.]" for ch in q]) + ")"
+
+
+def _variants_sql(q: str) -> str:
+    return f"WITH $A, f AS (SELECT unnest(regexp_extract_all(text, '{_forms(q)}')) AS raw FROM ex WHERE contains(key, '{q}')) SELECT regexp_replace(raw, '[ \\t]+', ' ', 'g') AS form, CAST(count(*) AS BIGINT) AS n FROM f WHERE NOT regexp_matches(raw, '[\\n￼]') GROUP BY 1"
+
+
+_add("variants", lambda s, d: c.variants(_hits(s, d, "of the")).select("form", "n"), _variants_sql("ofthe"))
+_add("variants_ambiguous", lambda s, d: c.occurrence_totals(_hits(s, d, "e.Th")), f"WITH $A, f AS (SELECT segment_id, regexp_extract_all(text, '{_forms('e.Th')}') AS s FROM ex WHERE contains(key, 'e.Th')) SELECT CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(s)) AS BIGINT) AS occurrences, CAST(sum(len(list_filter(s, lambda x: NOT contains(x, chr(10))))) AS BIGINT) AS decided, CAST(sum(len(list_filter(s, lambda x: contains(x, chr(10))))) AS BIGINT) AS undecided FROM f")
+_add(
+    "variants_sources",
+    lambda s, d: c.variants(_hits(s, d, "of the")).select("form", "n", F.array_join("sources", "|").alias("sources")),
+    f"WITH $A, f AS (SELECT year, subject, number, segment_id, source_label, unnest(regexp_extract_all(text, '{_forms('ofthe')}')) AS raw FROM ex WHERE contains(key, 'ofthe')), g AS (SELECT raw AS form, source_label AS source, count(*) AS n, min((-year, subject, number, segment_id)) AS at FROM f WHERE NOT contains(raw, chr(10)) GROUP BY ALL) SELECT form, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_slice(list(source ORDER BY at), 1, 3), '|') AS sources FROM g GROUP BY form",
+)
+_add("surface_forms", lambda s, d: _hits(s, d, "ofthe").select("segment_id", F.array_join("surface", "|").alias("surface")), f"WITH $A SELECT segment_id, array_to_string(regexp_extract_all(text, '{_forms('ofthe')}'), '|') AS surface FROM ex WHERE contains(key, 'ofthe')")
+
+_WORDINGS = ["of the", "the and", "is and"]
+_add(
+    "compare",
+    lambda s, d: c.compare(v.segments_a(s, d), v.exams_a(s, d), _WORDINGS),
+    "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT {i} AS ord, '{q}' AS query, regexp_extract_all(text, '{_forms(q.replace(' ', ''))}') AS s FROM ex WHERE contains(key, '{q.replace(' ', '')}')" for i, q in enumerate(_WORDINGS)) + ") SELECT CAST(ord AS INT) AS ord, query, CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(list_filter(s, lambda x: NOT contains(x, chr(10))))) AS BIGINT) AS total, CAST(sum(len(list_filter(s, lambda x: contains(x, chr(10))))) AS BIGINT) AS undecided FROM f GROUP BY ALL",
+)
+_add("multi_term_union", lambda s, d: c.multi_term(v.segments_a(s, d), v.exams_a(s, d), "of the, is and"), f"WITH $A, f AS (SELECT segment_id, len(regexp_extract_all(text, '{_forms('ofthe')}')) AS a, len(regexp_extract_all(text, '{_forms('isand')}')) AS b FROM ex) SELECT segment_id, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS n_terms, CAST(a + b AS BIGINT) AS occurrences FROM f WHERE a + b > 0")
+_add("snippet", lambda s, d: _hits(s, d, "ofthe").select("segment_id", text.snippet(F.col("text"), "ofthe").alias("snippet")), f"WITH $A, f AS (SELECT segment_id, text, regexp_extract(text, '{_forms('ofthe')}') AS hit FROM ex WHERE contains(key, 'ofthe')), g AS (SELECT *, strpos(text, hit) - 1 AS a, length(hit) AS m, length(text) AS n FROM f) SELECT segment_id, replace(CASE WHEN a > 60 THEN '…' ELSE '' END || substr(text, greatest(a - 60, 0) + 1, least(a, 60)) || '《' || hit || '》' || substr(text, a + m + 1, 60) || CASE WHEN a + m + 60 < n THEN '…' ELSE '' END, chr(10), ' ') AS snippet FROM g")
+_add("subjects", lambda s, d: c.subjects(v.exams_a(s, d)), "WITH $A SELECT subject, CAST(count(*) AS BIGINT) AS n_exams, CAST(sum(n_questions) AS BIGINT) AS n_questions FROM exams GROUP BY subject")
+_add("stats", lambda s, d: c.stats(v.segments_a(s, d), v.exams_a(s, d)), "WITH $A SELECT (SELECT count(*) FROM exams) AS exams, (SELECT CAST(4 * count(*) AS BIGINT) FROM exams) AS pages, (SELECT count(*) FROM ex) AS questions")
+_add("coverage", lambda s, d: c.coverage(v.exams_a(s, d)), "WITH $A SELECT CAST(year AS INT) AS year, exam, subject, CAST(sum(n_questions) AS BIGINT) AS n_questions FROM exams GROUP BY ALL")
+_add("coverage_pivot", lambda s, d: c.coverage_pivot(v.exams_a(s, d), ["de", "en", "es", "fr"]), "WITH $A SELECT CAST(year AS INT) AS year, exam, " + ", ".join(f"CAST(sum(n_questions) FILTER (subject = '{x}') AS BIGINT) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM exams GROUP BY year, exam")
+_add("missing_numbers", lambda s, d: c.missing_numbers(v.segments_a(s, d)).select("exam_id", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing")), "WITH $A, q AS (SELECT exam_id, max(number) AS m, list(DISTINCT number) AS s FROM ex GROUP BY exam_id) SELECT exam_id, array_to_string(list_filter(range(1, m + 1), lambda i: NOT list_contains(s, i)), ',') AS missing FROM q")
+_add("segment_labels", lambda s, d: v.segments_b(s, d).select("segment_id", meta.segment_label(F.col("kind"), F.col("part"), F.col("number"), F.col("number_end")).alias("label")), "SELECT conv_id * 1000 + turn AS segment_id, CASE role WHEN 'user' THEN turn || '번' WHEN 'assistant' THEN turn || '~' || turn || '번 지문' ELSE '표지/안내' END AS label FROM conversations")
+_DIRTY = "replace(replace(text, ', ', ' –  '), 'th', 't' || chr(8203) || 'h' || chr(57345) || chr(57346))"
+_add("clean_text", lambda s, d: v.documents(s, d).select("doc_id", text.clean_text(F.expr("replace(replace(text, ', ', ' –  '), 'th', concat('t', unhex('E2808B'), 'h', unhex('EE8081'), unhex('EE8082')))").cast("string")).alias("cleaned")), f"SELECT doc_id, array_to_string(list_transform(string_split(replace(regexp_replace(nfc_normalize({_DIRTY}), '[\\x{{E000}}-\\x{{F8FF}}]+', '￼', 'g'), chr(8203), ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)) AS cleaned FROM documents")
+_add("fold_key", lambda s, d: v.documents(s, d).select("doc_id", F.md5(text.key(F.replace("text", F.lit(", "), F.lit(" – ")))).alias("key_md5")), "SELECT doc_id, md5(translate(replace(text, ', ', ' – '), '– ' || chr(10), '-')) AS key_md5 FROM documents")
+_add("unreadable_count", lambda s, d: v.documents(s, d).select("doc_id", text.unreadable_count(F.replace("text", F.lit("th"), F.expr("cast(unhex('EE8081') as string)"))).cast("long").alias("n_broken")), "SELECT doc_id, CAST(length(text) - length(replace(text, 'th', 't')) AS BIGINT) AS n_broken FROM documents")
+_add("dedup_sha1", lambda s, d: v.documents(s, d).groupBy(F.sha1("text").alias("sha1")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "SELECT sha1(text) AS sha1, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+
+
+def _papers(s, d):
+    return v.documents(s, d).groupBy(F.sha1("text").alias("sha1")).agg(F.min("doc_id").alias("exam_id"), F.min("source").alias("source"))
+
+
+_STORED, _NEW = "exam_id % 3 < 2", "exam_id % 3 > 0"
+_P = "p AS (SELECT sha1(text) AS sha1, min(doc_id) AS exam_id, min(source) AS source FROM documents GROUP BY 1)"
+for _name, _force in (("upsert_skip", False), ("upsert_force", True)):
+    _add(
+        _name,
+        lambda s, d, force=_force: maintenance.upsert(_papers(s, d).where(_STORED).withColumn("v", F.lit("old")), _papers(s, d).where(_NEW).withColumn("v", F.lit("new")), force).select("sha1", "exam_id", "v"),
+        f"WITH {_P} SELECT sha1, exam_id, CASE WHEN exam_id % 3 = 0 THEN 'old' WHEN exam_id % 3 = 2 THEN 'new' ELSE '{'new' if _force else 'old'}' END AS v FROM p",
+    )
+_add("ingest_status", lambda s, d: maintenance.ingest_status(_papers(s, d).where(_STORED), _papers(s, d).where(_NEW)), f"WITH {_P} SELECT sha1, CASE WHEN exam_id % 3 = 1 THEN 'skipped' ELSE 'added' END AS status FROM p WHERE exam_id % 3 > 0")
+
+
+def _shelf(s, d):
+    i = F.col("doc_id")
+    return v.documents(s, d).select(i.alias("exam_id"), F.concat(F.lit("/p/"), i % 50).alias("path"), (2015 + i % 7).cast("int").alias("year"), F.when(i % 4 > 0, F.concat(F.lit("x"), i % 4)).alias("exam"), F.col("lang").alias("subject"), F.when(i % 5 == 0, 0).otherwise(i % 30).cast("long").alias("n_questions"), (i % 4).cast("int").alias("parser"))
+
+
+_S = "s AS (SELECT doc_id AS exam_id, '/p/' || doc_id % 50 AS path, 2015 + doc_id % 7 AS year, CASE WHEN doc_id % 4 > 0 THEN 'x' || doc_id % 4 END AS exam, lang AS subject, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 30 END AS n_questions, doc_id % 4 AS parser FROM documents)"
+_add("replace_scanned", lambda s, d: maintenance.superseded(_shelf(s, d)).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s a WHERE n_questions = 0 AND year IS NOT NULL AND subject IS NOT NULL AND EXISTS (SELECT 1 FROM s b WHERE b.n_questions > 0 AND b.exam_id <> a.exam_id AND b.year = a.year AND b.subject = a.subject AND b.exam IS NOT DISTINCT FROM a.exam)")
+_add("prune_missing", lambda s, d: maintenance.vanished(_shelf(s, d), _shelf(s, d).where("exam_id % 50 < 30").select("path").distinct()).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE exam_id % 50 >= 30 AND n_questions = 0")
+_add("stale_parser", lambda s, d: maintenance.stale(_shelf(s, d), 2).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE parser < 2")
+
+_NAMES = ["2026_6월모평_생명과학1.pdf", "2014_수능_생명과학1.pdf", "2025_9월_경제.pdf", "2024_3학평_고2_확통.pdf", "2019학년도-수능-사회·문화.pdf", "메모.pdf"]
+_META = [(2026, "6월 모평", None, "생명과학I", True), (2014, "수능", None, "생명과학I", True), (2025, "9월 모평", None, "경제", True), (2024, "3월 학평", "고2", "확률과통계", True), (2019, "수능", None, "사회문화", True), (None, None, None, None, False)]
+_q = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else f"'{x}'"
+_add("meta_from_filename", lambda s, d: s.createDataFrame([(x,) for x in _NAMES], "name string").select("name", meta.from_filename(F.col("name")).alias("m")).select("name", "m.*").withColumn("year", F.coalesce("year", F.lit(0))), "SELECT name, CAST(coalesce(year, 0) AS INT) AS year, exam, grade, subject, explicit FROM (VALUES " + ", ".join(f"('{n}', " + ", ".join(map(_q, m)) + ")" for n, m in zip(_NAMES, _META, strict=True)) + ") t(name, year, exam, grade, subject, explicit)")
+_RAW = [("생명 과학Ⅰ", "생명과학I"), ("생명과학1", "생명과학I"), ("물리학 Ⅱ", "물리학II"), ("사회·문화", "사회문화"), ("국어 영역", "국어")]
+_add("canon_subject", lambda s, d: s.createDataFrame(_RAW, "raw string, x string").select("raw", meta.canon_subject(F.col("raw")).alias("subject")), "SELECT raw, subject FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _RAW) + ") t(raw, subject)")
+_add("directory_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", meta.directory_year(F.concat(F.lit("/x/2011/"), (F.col("page_id") % 9 + 2010).cast("string"), F.lit("/a.pdf"))).alias("year")), "SELECT page_id, CAST(page_id % 9 + 2010 AS INT) AS year FROM pages")
+
+
+def _blocks(s, d):
+    i = F.col("doc_id")
+    x0 = F.when(i % 11 == 0, 40.0).when(i % 2 == 0, 40.0).otherwise(310.0)
+    return v.documents(s, d).select((i.cast("long") / F.lit(40)).cast("long").alias("doc_id"), (i % 40 / F.lit(20)).cast("int").alias("page"), x0.alias("x0"), ((i * 37 % 101) * 8.0).alias("y0"), (x0 + F.when(i % 11 == 0, 515.0).otherwise(240.0)).alias("x1"), F.lit(0.0).alias("y1"), F.lit("t").alias("text"), F.lit(595.0).alias("width"), i.alias("block_no"))
+
+
+_B = "b AS (SELECT doc_id // 40 AS doc_id, CAST((doc_id % 40) // 20 AS INT) AS page, doc_id AS block_no, (doc_id * 37 % 101) * 8.0 AS y0, doc_id % 11 = 0 AS f, doc_id % 2 = 0 AND doc_id % 11 > 0 AS l, CASE WHEN doc_id % 11 = 0 OR doc_id % 2 = 0 THEN 40 ELSE 310 END AS x0 FROM documents)"
+_add("reading_order", lambda s, d: layout.reading_order(_blocks(s, d)).select("block_no", "col", "pos"), f"WITH {_B}, c AS (SELECT *, count(*) FILTER (l) OVER p >= 2 AND count(*) FILTER (NOT l AND NOT f) OVER p >= 2 AS two, row_number() OVER r AS raw, sum(f::INT) OVER r AS band FROM b WINDOW p AS (PARTITION BY doc_id, page), r AS (PARTITION BY doc_id, page ORDER BY y0, x0, block_no)), e AS (SELECT *, CAST(CASE WHEN f OR NOT two THEN -1 WHEN l THEN 0 ELSE 1 END AS INT) AS col FROM c) SELECT block_no, col, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two THEN band ELSE 0 END, CASE WHEN two THEN col ELSE 0 END, CASE WHEN two THEN y0 ELSE raw END, raw) AS INT) AS pos FROM e")
+_add("running_heads", lambda s, d: layout.strip_running_heads(_pages(s, d)).select("doc_id", "page", "pos"), "WITH l AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 // 10 AS page, doc_id % 10 AS pos, CASE WHEN doc_id % 10 = 0 THEN 'head' ELSE left(text, 30) || doc_id END AS text FROM documents) SELECT doc_id, page, pos FROM l WHERE text <> 'head'")
+
+
+def _pages(s, d):
+    i = F.col("doc_id")
+    return v.documents(s, d).select(F.expr("doc_id div 100").alias("doc_id"), F.expr("doc_id % 100 div 10").alias("page"), (i % 10).alias("pos"), F.when(i % 10 == 0, "head").otherwise(F.concat(F.substring("text", 1, 30), i.cast("string"))).alias("text"))
+
+
+def _numbered(s, d):
+    i = F.col("doc_id")
+    return v.documents(s, d).select(F.expr("doc_id div 50").alias("doc_id"), (i % 50).cast("int").alias("line_no"), F.lit(1).alias("page"), F.when(i % 5 == 1, F.concat(F.expr("doc_id % 50 div 5 + 1").cast("string"), F.lit(". q"))).otherwise("body").alias("text"))
+
+
+_add("segment_lines", lambda s, d: segmenting.segment(_numbered(s, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("number"), F.lit(0)).alias("top")), "SELECT doc_id // 50 AS doc_id, k AS kind, count(*) AS n, CAST(coalesce(max(m), 0) AS INT) AS top FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'question' ELSE 'front' END AS k, CASE WHEN doc_id % 5 = 1 THEN doc_id % 50 // 5 + 1 END AS m FROM documents WHERE doc_id % 5 = 1 OR doc_id % 50 = 0) GROUP BY ALL")
