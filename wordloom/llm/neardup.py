@@ -3,11 +3,13 @@
 A document's set holds the distinct 5-word shingles of its lower-cased text (a shorter text is one shingle).  Equal
 sets form a class at once, by a 128-bit sum over the set, and only a class's smallest document goes on: a
 group of exact copies costs one signature.  Classes meet in the buckets of ``bands`` bands of ``rows`` minima (at
-similarity 0.85, 24 x 4 miss a pair with probability 2e-8).  Within a bucket no all-pairs list is made: in a round, each
+similarity 0.85, 24 x 4 miss a pair with probability 2e-8).  Within a bucket no all-pairs list is made: first each
 bucket's centre (the member that shares most buckets) is compared with its members; a pair whose signatures
-agree in too few places (under ``floor``; 0.85 less six standard deviations) is dropped, others are confirmed on
-full sets.  Linked documents then form components.  Pairs of one bucket that are still in different components
-are compared in the last round, so that no link between components is lost.
+agree in too few places (under ``floor``; 0.85 less five standard deviations) is dropped, others are confirmed on
+full sets.  Linked documents then form components.  Members of one bucket that are still in different components
+are compared by signature in blocks of bounded size; the members with a partner then meet again with their texts,
+one row for each member and block, and are checked exactly there.  So no link between components is lost, and
+no group's pairs are written out.
 
 Nulls: a null doc_id is dropped; a null or blank text has an empty set and is linked with nothing.  Repeated rows
 of one doc_id: the result has one row of that id for each.  Extra columns are ignored.
@@ -25,6 +27,10 @@ from .kernels import U64
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
+#: Minima of a signature; the bands use the first BANDS * ROWS of them, the check all (8 bits of each).
+HASHES = 256
+#: Members of a bucket that are compared at a time.
+BLOCK = 500
 U32 = np.uint32
 
 
@@ -45,7 +51,7 @@ def shingle_sets(text) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
-def _signatures(n_hashes: int):
+def _signatures(n_hashes: int, bands: int, rows: int):
     mult, add = _hash_family(n_hashes)
 
     def run(batches):
@@ -63,32 +69,35 @@ def _signatures(n_hashes: int):
                     x = (h >> U64(32)).astype(np.uint32)
                     for k in range(n_hashes):
                         minima[full, k] = np.minimum.reduceat(x * mult[k] + add[k], at)
-                flat = minima.astype("<u4").tobytes()
-                width = 4 * n_hashes
+                keys = _band_keys(minima[:, : bands * rows].reshape(-1, bands, rows).astype(U64))
+                blobs = lambda x: pa.array([v.tobytes() if s else None for v, s in zip(x, sizes, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
                     "n_shingles": pa.array(sizes.astype(np.int64)),
                     "f1": pa.array(f1.view(np.int64)),
                     "f2": pa.array(f2.view(np.int64)),
-                    "sig": pa.array([flat[i * width : (i + 1) * width] if sizes[i] else None for i in range(len(sizes))], pa.binary()),
+                    "sig": blobs(minima.astype(np.uint8)),
+                    "keys": blobs(keys),
                 })
 
     return run
 
 
-def _band_keys(bands: int, rows: int):
+def _band_keys(minima: np.ndarray) -> np.ndarray:
+    """64-bit keys (documents x bands) from minima (documents x bands x rows)."""
+    bands, rows = minima.shape[1:]
+    key = np.zeros(minima.shape[:2], U64)
+    for r in range(rows):
+        key = kernels.mix(key * U64(0x9E3779B97F4A7C15) + minima[:, :, r], 7)
+    return kernels.mix(key + np.arange(bands, dtype=U64)[None, :] * U64(0xC2B2AE3D27D4EB4F), 8)
+
+
+def _explode_keys(bands: int):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            if not n:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(n, bands, rows).astype(U64)
-            key = np.zeros((n, bands), U64)
-            for r in range(rows):
-                key = kernels.mix(key * U64(0x9E3779B97F4A7C15) + sig[:, :, r], 7)
-            key = kernels.mix(key + np.arange(bands, dtype=U64)[None, :] * U64(0xC2B2AE3D27D4EB4F), 8)
-            ids = np.asarray(batch.column("doc_id"))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel().view(np.int64)), "doc_id": pa.array(np.repeat(ids, bands))})
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), "doc_id": pa.array(np.repeat(np.asarray(batch.column("doc_id")), bands))})
 
     return run
 
@@ -99,13 +108,65 @@ def _agreeing(n_hashes: int, least: float):
             n = batch.num_rows
             if not n:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, n_hashes) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, n_hashes) for c in ("sig_a", "sig_b"))
             good = (a == b).mean(1) >= least
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b")})
 
     return run
 
 
+def _block_pairs(n_hashes: int, least: float):
+    """Members of two blocks of a bucket with their partners: in another component, agreeing, no earlier band in common."""
+
+    def run(key, table):
+        ids, comp, own, band = (np.asarray(table.column(c)) for c in ("doc_id", "component", "own", "band"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), n_hashes)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U64).reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        one = key[1].as_py() == key[2].as_py()
+        partners: dict[int, np.ndarray] = {}
+        met = np.zeros(len(ids), bool)
+        for x in left:
+            to = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if one else True)]
+            to = to[(sig[to] == sig[x]).mean(1) >= least] if len(to) else to
+            to = to[~(keys[to, : band[x]] == keys[x, : band[x]]).any(1)] if len(to) else to
+            if len(to):
+                partners[int(x)] = ids[to]
+                met[x] = True
+                met[to] = True
+        rows = np.flatnonzero(met)
+        return pa.table({
+            **{c: pa.array([k.as_py()] * len(rows), kind) for c, k, kind in zip(("key", "i", "j"), key, (pa.int64(), pa.int32(), pa.int32()), strict=True)},
+            "doc_id": pa.array(ids[rows], pa.int64()),
+            "partners": pa.array([partners.get(int(x), np.zeros(0, np.int64)).tolist() for x in rows], pa.list_(pa.int64())),
+        })
+
+    return run
+
+
+def _confirm_block(num: int, den: int):
+    """Exact checks of the members of a block with their partners, over one numbering of the block's shingles."""
+
+    def run(key, table):
+        ids = table.column("doc_id").to_pylist()
+        h, off = shingle_sets(table.column("text"))
+        vocabulary, number = np.unique(h, return_inverse=True)
+        sets = {d: number[a:b] for d, a, b in zip(ids, off[:-1], off[1:], strict=True)}
+        flag, out_a, out_b = np.zeros(len(vocabulary), bool), [], []
+        for d, partners in zip(ids, table.column("partners").to_pylist(), strict=True):
+            own = sets[d]
+            flag[own] = True
+            for p in partners:
+                both = int(np.count_nonzero(flag[sets[p]]))
+                if both and den * both >= num * (len(own) + len(sets[p]) - both):
+                    out_a.append(min(d, p))
+                    out_b.append(max(d, p))
+            flag[own] = False
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
 def _confirm(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -120,39 +181,51 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, n_hashes: int, floor: float, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that pass the signature check and then the exact one."""
-    s = sigs.select("doc_id", "sig")
-    near = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-    near = common.materialize(near.mapInArrow(_agreeing(n_hashes, floor), "a long, b long"), "pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    some = common.materialize(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    both = near.join(some.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(some.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+def _links(near: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that pass the exact check."""
+    near = common.materialize(near, "pairs")
+    both = near.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     return common.materialize(both.mapInArrow(_confirm(num, den), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS, floor: float = 0.63, star_rounds: int = 2) -> DataFrame:
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted documents' texts, fetched once.  The ids grow with the input, so this is a merge join at every size."""
+    found = texts.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return common.materialize(found, "texts")
+
+
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS, n_hashes: int = HASHES, floor: float = 0.74, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that similarity links of num / den or more reach."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    n_hashes = bands * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
-    sigs = common.materialize(texts.mapInArrow(_signatures(n_hashes), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "signatures")
+    sigs = common.materialize(texts.mapInArrow(_signatures(n_hashes, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, keys binary"), "signatures")
     full = sigs.where("n_shingles > 0")
     classes = common.materialize(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = common.materialize(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    keys = common.materialize(_shared(reps.mapInArrow(_band_keys(bands, rows), "key long, doc_id long")), "bands")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "keys").dropDuplicates(["doc_id"])
+    keys = reps.select("doc_id", "keys").mapInArrow(_explode_keys(bands), "key long, band int, doc_id long")
+    keys = common.materialize(_shared(keys), "bands")
+    # A document of a band key that repeats is rare: only those signatures are kept at hand.
+    reps = common.materialize(reps.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    texts = _texts(texts, reps)
     weight = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    keys = common.materialize(keys.join(weight, "doc_id"), "bands")
-    edges, comp = None, None
-    for turn in range(star_rounds):
-        members = _open_members(keys, comp)
-        centre = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "component"), F.struct("weight", (-F.col("doc_id")).alias("o")) if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"))).alias("c"))
-        pairs = members.join(centre, "key").where("doc_id <> c.doc_id and component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        edges, comp = _grow(edges, _links(pairs, reps, texts, n_hashes, floor, num, den))
-    members = common.materialize(_open_members(keys, comp).select("key", "doc_id", "component"), "open")
-    pairs = members.alias("x").join(members.alias("y"), "key").where("x.doc_id < y.doc_id and x.component <> y.component").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    edges, comp = _grow(edges, _links(pairs, reps, texts, n_hashes, floor, num, den))
+    centre = keys.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", (-F.col("doc_id")).alias("o"))).alias("c"))
+    pairs = keys.join(centre, "key").where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    s = reps.select("doc_id", "sig")
+    near = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b").mapInArrow(_agreeing(n_hashes, floor), "a long, b long")
+    edges, comp = _grow(None, _links(near, texts, num, den))
+
+    members = common.materialize(_open_members(keys, comp), "open")
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = (
+        members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", "doc_id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(reps, "doc_id")
+    )
+    near = common.materialize(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(n_hashes, floor), "key long, i int, j int, doc_id long, partners array<long>"), "partners")
+    checked = near.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(_confirm_block(num, den), "a long, b long")
+    edges, comp = _grow(edges, common.materialize(checked, "links"))
     merged = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(merged, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -163,10 +236,8 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
-def _open_members(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _open_members(keys: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components."""
-    if comp is None:
-        return keys.withColumn("component", F.col("doc_id"))
     now = keys.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return now.join(mixed, "key", "left_semi")
