@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OBJECT = "￼"
 # Characters that a search key folds, and what they fold to.
@@ -57,7 +58,7 @@ def unreadable_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(UNREADABLE))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed form; Spark has no builtin for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -71,7 +72,7 @@ def clean_text(text: Column | str) -> Column:
     return F.array_join(F.transform(F.split(seen, "\n", -1), line), "\n")
 
 
-@F.pandas_udf("array<struct<start: int, end: int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def _spans(text: pd.Series, wanted: pd.Series) -> pd.Series:
     def one(t, q):
         if not t or not q:

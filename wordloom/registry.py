@@ -53,7 +53,7 @@ _add("variants_ambiguous", lambda s, d: c.occurrence_totals(_hits(s, d, "e.Th"))
 _add(
     "variants_sources",
     lambda s, d: c.variants(_hits(s, d, "of the")).select("form", "n", F.array_join("sources", "|").alias("sources")),
-    f"WITH $A, f AS (SELECT year, subject, number, segment_id, source_label, unnest(regexp_extract_all(text, '{_forms('ofthe')}')) AS raw FROM ex WHERE contains(key, 'ofthe')), g AS (SELECT raw AS form, source_label AS source, count(*) AS n, min((-year, subject, number, segment_id)) AS at FROM f WHERE NOT contains(raw, chr(10)) GROUP BY ALL) SELECT form, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_slice(list(source ORDER BY at), 1, 3), '|') AS sources FROM g GROUP BY form",
+    f"WITH $A, f AS (SELECT year, subject, number, segment_id, source_label, unnest(regexp_extract_all(text, '{_forms('ofthe')}')) AS raw FROM ex WHERE contains(key, 'ofthe')), g AS (SELECT raw AS form, source_label AS source, count(*) AS n, min((-year, subject, number, segment_id)) AS first_at FROM f WHERE NOT contains(raw, chr(10)) GROUP BY ALL) SELECT form, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_slice(list(source ORDER BY first_at), 1, 3), '|') AS sources FROM g GROUP BY form",
 )
 _add("surface_forms", lambda s, d: _hits(s, d, "ofthe").select("segment_id", F.array_join("surface", "|").alias("surface")), f"WITH $A SELECT segment_id, array_to_string(regexp_extract_all(text, '{_forms('ofthe')}'), '|') AS surface FROM ex WHERE contains(key, 'ofthe')")
 
