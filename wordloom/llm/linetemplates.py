@@ -29,21 +29,22 @@ from . import common, kernels
 LEAD = 3
 MIN_SPLIT = 6
 MIN_DOCS, MIN_SHARE = 5, 0.5
-_VARIABLE = re.compile(r"[^ \t-\r]*[0-9][^ \t-\r]*")
+_DIGIT = re.compile("[0-9]")
 
 
 def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def masked(line: str) -> str:
-    return _VARIABLE.sub("<*>", line)
+def masked(line: str) -> list[str]:
+    """The tokens of a line, those with a digit generalised; linear in the line, however long a token is."""
+    tokens = line.split()
+    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
 def signatures(line: str) -> list[int]:
     """Of a line's template and, if it is long enough, of those with one third of the other tokens generalised."""
-    text = masked(line)
-    tokens = text.split()
+    tokens = masked(line)
     out = [_hash(" ".join(tokens))]
     n = len(tokens)
     if n >= MIN_SPLIT:
