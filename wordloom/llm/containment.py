@@ -29,12 +29,16 @@ from . import common
 WORDS = 5
 #: (partition, least shingles, most shingles, window, stride)
 PARTITIONS = ((0, 1, 4, 1, 1), (1, 5, 9, 2, 3), (2, 10, None, 5, 4))
+_BETWEEN = r"(?:(?<!\p{Punct})\p{Punct}++)?+[ \t-\r]++\p{Punct}*+|^\p{Punct}++|(?<!\p{Punct})\p{Punct}++\z"
 MASKS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x2545F4914F6CDD1D)
 
 
 def normal_words(text: Column) -> Column:
-    """Lower-cased words; punctuation at their ends is not part of them."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\p{Punct}]*[ \t-\r]+[\p{Punct}]*|^[\p{Punct}]+|[\p{Punct}]+$", -1), lambda w: w != F.lit(""))
+    """Lower-cased words; punctuation at their ends is not part of them.
+
+    A run of punctuation is read once, from its first character: the pattern is linear in the text.
+    """
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN, -1), lambda w: w != F.lit(""))
 
 
 def shingle_hashes(words: Column) -> Column:
