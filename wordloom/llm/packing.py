@@ -15,6 +15,7 @@ are packed once each, whether their texts are equal or not.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from itertools import accumulate
@@ -31,7 +32,7 @@ from .kernels import U64
 CAPACITY = 4096
 END_ID = 2
 DIMS, KEY_BITS = 3, 10
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 ROWS_PER_RANGE = 20_000
 WINDOW, OPEN = 2048, 64
 
@@ -43,7 +44,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, by way of a cache of words.
+    """Token ids of whole texts as little-endian 32-bit bytes, by way of a bounded cache of words.
 
     The tokenizer lower-cases, drops white space and splits there, so a text's ids are its words' ids one after
     another.  It also splits between a letter or digit and a mark, so full stops and commas that end a word are
@@ -52,18 +53,25 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads cost it memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
+        wanted = set().union(*split)
+        if len(self.known) + len(wanted) > CACHE_WORDS // 2:  # what is used again comes back from the older half
+            self.known, self.older = {}, self.known
+        new = list(wanted.difference(self.known))
+        if self.older:
+            again = self.older.keys() & new
+            self.known.update((w, self.older[w]) for w in again)
+            new = [w for w in new if w not in again]
+        for at in range(0, len(new), 5_000):
+            words = new[at : at + 5_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
         get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
