@@ -61,26 +61,57 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
-        wanted = set().union(*split)
-        if len(self.known) + len(wanted) > CACHE_WORDS // 2:  # what is used again comes back from the older half
+        spread = [self.spaced(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts]
+        buf = np.frombuffer(b"".join(spread), np.uint8)
+        inside = ~kernels.SPACE[buf]
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        at = np.append(0, np.cumsum(end - start)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(buf[inside])]).dictionary_encode()
+        value = self.lookup(coded.dictionary.to_pylist())
+        place = np.asarray(coded.indices)
+        # Ids of each word, one after another, then cut into documents.
+        size = np.array([len(v) // 4 for v in value], np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(value), "<u4")
+        n = size[place]
+        stop = np.append(0, np.cumsum(n))
+        ids = flat[np.arange(stop[-1]) + np.repeat(first[place] - stop[:-1], n)].tobytes()
+        cut = (4 * stop[np.searchsorted(start, np.cumsum([0] + [len(t) for t in spread]))]).tolist()
+        last = END_ID.to_bytes(4, "little")
+        return [ids[x:y] + last for x, y in zip(cut, cut[1:], strict=False)]
+
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) + len(words) > CACHE_WORDS // 2:  # what is used again comes back from the older half
             self.known, self.older = {}, self.known
-        new = list(wanted.difference(self.known))
-        if self.older:
-            again = self.older.keys() & new
-            self.known.update((w, self.older[w]) for w in again)
-            new = [w for w in new if w not in again]
-        for at in range(0, len(new), 5_000):
-            words = new[at : at + 5_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
-        get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
-        return [b"".join(map(get, ws)) + end for ws in split]
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        plain = [w for w in new if w.isascii() and b"<" not in w]  # encoded together: a blank always parts two words
+        for at in range(0, len(plain), 5_000):
+            some = plain[at : at + 5_000]
+            coded = self.tokenizer.encode(b" ".join(some).decode("ascii"), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            begin = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cut = (4 * np.searchsorted(begin, np.cumsum([0] + [len(w) + 1 for w in some]))).tolist()
+            known.update((w, ids[x:y]) for w, x, y in zip(some, cut, cut[1:], strict=False))
+        other = [w for w in new if w not in known]
+        for at in range(0, len(other), 5_000):
+            some = other[at : at + 5_000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
+        return [known[w] for w in words]
 
     @staticmethod
-    def words(text: bytes) -> list[bytes]:
+    def spaced(text: bytes) -> bytes:
+        """The text with white space between its words and at its end."""
         if b"<|" in text:
-            return text.split()
+            return text + b" "
         text = text.lower() + b" "
         buf = np.frombuffer(text, np.uint8)
         at = np.flatnonzero(STOPS[buf])
@@ -89,7 +120,7 @@ class Encoder:
         fine = WORDY[before] | (buf[at - 2] == 0xC3) & (before != 0x97) & (before != 0xB7)
         if len(at) and at[0] > 1 and fine.all():
             text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
-        return text.split()
+        return text
 
 
 _encoders: dict[str, Encoder] = {}
