@@ -47,6 +47,13 @@ def test_cover_and_label(spark):
     assert (a.year, a.exam, a.subject) == (2014, "수능", "생명과학I") and (b.exam, b.subject) == ("6월 모평", "수학가형")
 
 
+def test_canonical_literal_equals_column(spark):
+    names = ["생명 과학Ⅰ", "생명과학1", "물리학 Ⅱ", "사회·문화", "국어 영역", "(가형)", "수학2", "영어", "화학 1", "한국사과목"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(meta.canon_subject(F.col("n")).alias("c")).collect()
+    assert [r.c for r in got] == [meta.canonical(n) for n in names]
+    assert meta.subject_aliases("생명과학1") == meta.subject_aliases("생명 과학Ⅰ") == ["생명과학1", "생명과학I", "생명과학Ⅰ"]
+
+
 def corpus(spark):
     exams = spark.createDataFrame([(1, "s1", 2014, "수능", None, "생명과학I"), (2, "s2", 2026, "6월 모평", None, "생명과학I")], "exam_id long, sha1 string, year int, exam string, grade string, subject string").withColumns({"filename": F.lit("f.pdf"), "path": F.lit("/f.pdf"), "n_pages": F.lit(2).cast("long"), "parser": F.lit(2), "scanned_pages": F.lit("1,2"), "n_questions": F.lit(1).cast("long")})
     segs = spark.createDataFrame([(1, 1, "question", 1, 1, 1, None, "빛에너지 빛\n에너지"), (2, 2, "question", 1, 1, 1, None, "빛 에너지 빛 에너지 빛에너지")], "segment_id long, exam_id long, kind string, number int, number_end int, page int, part string, text string")

@@ -103,3 +103,11 @@ def snippet(text: Column, query: str, width: int = 60, mark: tuple[str, str] = (
     body = F.concat(F.when(lo > 0, "…").otherwise(""), F.substr(text, lo + 1, a - lo), F.lit(mark[0]), hit, F.lit(mark[1]), F.substr(text, b + 1, hi - b), F.when(hi < n, "…").otherwise(""))
     shown = F.when(hit == "", F.substring(text, 1, plain or 2 * width)).otherwise(body)
     return F.replace(readable(shown), F.lit("\n"), F.lit(" "))
+
+
+def highlight(text: Column, query: str, width: int = 90, plain: int = 200) -> Column:
+    """The snippet as HTML: escaped, the occurrence in ``mark``; ``plain`` characters where there is none."""
+    shown = snippet(text, query, width, ("\x02", "\x03"), plain)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\x02", "<mark>"), ("\x03", "</mark>")):
+        shown = F.replace(shown, F.lit(sign), F.lit(entity))
+    return shown

@@ -89,6 +89,22 @@ def compare(segments: DataFrame, exams: DataFrame, queries: list[str], **filters
     return names.join(sums, "ord", "left").select("ord", "query", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "total", "undecided")])
 
 
+def with_dominant(compared: DataFrame) -> DataFrame:
+    """Compared wordings with all their occurrences, undecidable ones too, and whether one alone has the most."""
+    every = compared.withColumn("occurrences", F.col("total") + F.col("undecided"))
+    top = every.groupBy("occurrences").agg(F.count(F.lit(1)).alias("_n")).agg(F.max_by("_n", "occurrences").alias("_n"), F.max("occurrences").alias("_top"))
+    dominant = (F.col("occurrences") == F.col("_top")) & (F.col("_n") == 1) & (F.col("_top") > 0)
+    return every.join(top, F.lit(True)).withColumn("dominant", dominant).drop("_n", "_top")  # one row on the right
+
+
+def compare_by_subject(segments: DataFrame, exams: DataFrame, queries: list[str], **filters) -> DataFrame:
+    """Hits and occurrences of each wording in each subject that has any."""
+    rows = corpus(segments, exams).where(predicates(**filters))
+    per = F.array(*[F.when(text.key("text").contains(text.query_key(q)) if text.query_key(q) else F.lit(False), F.struct(F.lit(q).alias("query"), F.size(text.surface_forms("text", q)).alias("n"))) for q in queries])
+    found = rows.select("subject", F.explode(F.filter(per, lambda x: x.isNotNull())).alias("m"))
+    return found.groupBy(F.coalesce("subject", F.lit("(미상)")).alias("subject"), F.col("m.query").alias("query")).agg(F.count(F.lit(1)).alias("hits"), F.sum("m.n").cast("long").alias("occurrences"))
+
+
 def multi_term(segments: DataFrame, exams: DataFrame, line: str, **filters) -> DataFrame:
     """Segments that hold any of the terms (cut at commas, slashes and ``vs``; five at most), with terms and occurrences."""
     import re

@@ -14,7 +14,7 @@ PART = re.compile(r"[(（]\s*(확률과\s*통계|미적분|기하|화법과\s*
 BANNER = re.compile(r"문제지\s*$|^제\s*\d\s*교시")
 SKIP, NEAR = 3, 8
 
-OUT = "doc_id long, seg_no int, kind string, number int, number_end int, page int, part string, text string"
+OUT = "seg_no int, kind string, number int, number_end int, page int, part string, text string, line_nos array<int>"
 
 
 class Segmenter:
@@ -28,7 +28,7 @@ class Segmenter:
         self.since_banner = 1 << 20
 
     def start(self, kind: str, a, b, page: int) -> None:
-        self.rows.append({"kind": kind, "number": a, "number_end": b, "page": page, "part": None if kind == "front" else self.part, "lines": []})
+        self.rows.append({"kind": kind, "number": a, "number_end": b, "page": page, "part": None if kind == "front" else self.part, "lines": [], "line_nos": []})
 
     def name_from(self, n: int, part) -> None:
         for row in self.rows:
@@ -64,7 +64,7 @@ class Segmenter:
             self.last, self.waiting = self.base, True
             self.start("front", None, None, page)
 
-    def feed(self, text: str, page: int) -> None:
+    def feed(self, text: str, page: int, line_no: int) -> None:
         if not self.rows:
             self.start("front", None, None, page)
         bare = text.strip()
@@ -85,21 +85,22 @@ class Segmenter:
                     self.start("question", n, n, page)
                     self.last, self.waiting = n, False
         self.rows[-1]["lines"].append(text)
+        self.rows[-1]["line_nos"].append(line_no)
 
 
 def segment_document(lines: pd.DataFrame) -> pd.DataFrame:
     state = Segmenter()
     ordered = lines.sort_values("line_no")
-    for text, page in zip(ordered["text"].fillna(""), ordered["page"], strict=True):
-        state.feed(text, int(page))
+    for text, page, line_no in zip(ordered["text"].fillna(""), ordered["page"], ordered["line_no"], strict=True):
+        state.feed(text, int(page), int(line_no))
     rows = [r | {"text": "\n".join(r.pop("lines")).strip()} for r in state.rows]
     rows = [r for r in rows if r["text"]]
-    out = pd.DataFrame(rows, columns=["kind", "number", "number_end", "page", "part", "text"])
+    out = pd.DataFrame(rows, columns=["kind", "number", "number_end", "page", "part", "text", "line_nos"])
     out.insert(0, "seg_no", range(len(out)))
     out.insert(0, "doc_id", lines["doc_id"].iloc[0])
     return out.astype({"number": "Int32", "number_end": "Int32"})
 
 
 def segment(lines: DataFrame) -> DataFrame:
-    """lines(doc_id, line_no, page, text) -> segments in order; empty ones are left out."""
-    return lines.select("doc_id", "line_no", "page", "text").groupBy("doc_id").applyInPandas(segment_document, OUT)
+    """lines(doc_id, line_no, page, text) -> segments in order, with the lines of each; empty ones are left out."""
+    return lines.select("doc_id", "line_no", "page", "text").groupBy("doc_id").applyInPandas(segment_document, f"doc_id {dict(lines.dtypes)['doc_id']}, {OUT}")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .functions import meta, text
 from .operators import concordance as c
 from .operators import layout, maintenance, segmenting
+from .plans import schemas
 from .plans import views as v
+from .sources import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,3 +136,68 @@ def _numbered(s, d):
 
 
 _add("segment_lines", lambda s, d: segmenting.segment(_numbered(s, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("number"), F.lit(0)).alias("top")), "SELECT doc_id // 50 AS doc_id, k AS kind, count(*) AS n, CAST(coalesce(max(m), 0) AS INT) AS top FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'question' ELSE 'front' END AS k, CASE WHEN doc_id % 5 = 1 THEN doc_id % 50 // 5 + 1 END AS m FROM documents WHERE doc_id % 5 = 1 OR doc_id % 50 = 0) GROUP BY ALL")
+_add("compare_by_subject", lambda s, d: c.compare_by_subject(v.segments_a(s, d), v.exams_a(s, d), _WORDINGS), "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT subject, '{q}' AS query, len(regexp_extract_all(text, '{_forms(q.replace(' ', ''))}')) AS n FROM ex WHERE contains(key, '{q.replace(' ', '')}')" for q in _WORDINGS) + ") SELECT subject, query, CAST(count(*) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS occurrences FROM f GROUP BY ALL")
+_add("compare_dominant", lambda s, d: c.with_dominant(c.compare(v.segments_a(s, d), v.exams_a(s, d), _WORDINGS)).select("query", "occurrences", "dominant"), "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query, CAST(coalesce(sum(len(regexp_extract_all(text, '{_forms(q.replace(' ', ''))}'))), 0) AS BIGINT) AS occurrences FROM ex" for q in _WORDINGS) + ") SELECT query, occurrences, occurrences = max(occurrences) OVER () AND count(*) OVER (PARTITION BY occurrences) = 1 AND occurrences > 0 AS dominant FROM f")
+_add("search_turns", lambda s, d: v.segments_b(s, d).where(c.predicates(kinds=("question",)) & text.key("text").contains("the")).select("segment_id", F.size(text.surface_forms("text", "the")).cast("long").alias("matches")), f"SELECT conv_id * 1000 + turn AS segment_id, CAST(len(regexp_extract_all(text, '{_forms('the')}')) AS BIGINT) AS matches FROM conversations WHERE role = 'user' AND contains(translate(text, ' ' || chr(10) || chr(65532), ''), 'the')")
+_add("source_labels", lambda s, d: v.segments_a(s, d).join(v.exams_a(s, d), "exam_id").select("segment_id", meta.source_label(F.col("year"), F.col("exam"), F.col("grade"), F.col("subject"), meta.segment_label(F.col("kind"), F.col("part"), F.col("number"), F.col("number_end"))).alias("source")), "WITH $A SELECT segment_id, source_label AS source FROM ex")
+_EXAMS = [("2014학년도 대학수학능력시험", "수능"), ("2026학년도 6월 모의평가", "6월 모평"), ("2024년 3월 고2 전국연합학력평가", "3월 학평"), ("모의평가 문제지", "모의평가"), ("09월 학력평가와 수능", "9월 학평"), ("중간고사", None)]
+_add("detect_exam", lambda s, d: s.createDataFrame(_EXAMS, "cover string, x string").select("cover", meta.detect_exam(F.col("cover")).alias("exam")), "SELECT cover, exam FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _EXAMS) + ") t(cover, exam)")
+
+
+def _merged(s, d):
+    i = F.col("doc_id")
+    given = F.struct(F.when(i % 3 == 0, 2000 + i % 20).otherwise(0).cast("int").alias("year"), F.when(i % 2 == 0, "").otherwise("a").alias("subject"))
+    found = F.struct(F.when(i % 5 > 0, 1990).cast("int").alias("year"), F.col("lang").alias("subject"))
+    return v.documents(s, d).select("doc_id", F.coalesce(meta.merge("year", given, found), F.lit(-1)).alias("year"), meta.merge("subject", given, found).alias("subject"))
+
+
+_add("meta_merge", _merged, "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2000 + doc_id % 20 WHEN doc_id % 5 > 0 THEN 1990 ELSE -1 END AS INT) AS year, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'a' END AS subject FROM documents")
+
+
+def _repaired(s, d):
+    i = F.col("exam_id")
+    stored = _shelf(s, d).select("exam_id", i.cast("string").alias("sha1"), "path", F.lit("f").alias("filename"), F.when(i % 2 == 0, F.col("year")).alias("year"), "exam", F.lit("고3").alias("grade"), F.when(i % 3 > 0, F.col("subject")).alias("subject"))
+    named = _shelf(s, d).where("exam_id % 4 < 3").select(i.cast("string").alias("sha1"), F.concat(F.lit("/q/"), i.cast("string")).alias("path"), F.lit("g").alias("filename"), F.lit(1999).alias("year"), F.lit("y").alias("exam"), F.lit("고1").alias("grade"), F.lit("z").alias("subject"), (i % 5 == 0).alias("explicit"))
+    return maintenance.repair(stored, named).select("exam_id", "path", "filename", F.coalesce("year", F.lit(0)).alias("year"), "exam", "grade", "subject")
+
+
+_add("repair_meta", _repaired, f"WITH {_S}, r AS (SELECT *, exam_id % 4 < 3 AS f FROM s) SELECT exam_id, CASE WHEN f THEN '/q/' || exam_id ELSE path END AS path, CASE WHEN f THEN 'g' ELSE 'f' END AS filename, CAST(CASE WHEN exam_id % 2 = 0 THEN year WHEN f THEN 1999 ELSE 0 END AS INT) AS year, CASE WHEN exam IS NULL AND f THEN 'y' ELSE exam END AS exam, '고3' AS grade, CASE WHEN f AND exam_id % 5 = 0 THEN 'z' WHEN exam_id % 3 > 0 THEN subject WHEN f THEN 'z' END AS subject FROM r")
+
+
+def _placed(s, d):
+    """Lines with a box, three to a segment and ten segments to a document."""
+    i = F.col("doc_id")
+    x0 = (i % 7).cast("double")
+    return v.documents(s, d).select(F.expr("doc_id div 30").alias("doc_id"), F.expr("cast(doc_id % 30 div 3 as int)").alias("seg_no"), F.expr("cast(doc_id % 30 div 15 as int)").alias("page"), (i % 2).cast("int").alias("col"), x0.alias("x0"), (i % 30 * 10).cast("double").alias("y0"), (x0 + 100).alias("x1"), (i % 30 * 10 + 8).cast("double").alias("y1"), F.lit(1.0).alias("cx0"), F.lit(104.0).alias("cx1"))
+
+
+_L = "l AS (SELECT doc_id // 30 AS doc_id, CAST(doc_id % 30 // 3 AS INT) AS seg_no, CAST(doc_id % 30 // 15 AS INT) AS page, doc_id % 2 AS col, least(doc_id % 7, 1) AS x0, doc_id % 30 * 10 AS y0, greatest(doc_id % 7 + 100, 104) AS x1, doc_id % 30 * 10 + 8 AS y1 FROM documents), r AS (SELECT doc_id, seg_no, page, col, min(x0) AS x0, min(y0) - 4 AS y0, max(x1) AS x1, max(y1) + 4 AS y1 FROM l GROUP BY ALL)"
+_add("rects_union", lambda s, d: layout.regions(_placed(s, d)).select("doc_id", "seg_no", F.posexplode("rects").alias("i", "r")).select("doc_id", "seg_no", "i", *[F.col(f"r.{x}").cast("int").alias(x) for x in ("page", "x0", "y0", "x1", "y1")]), f"WITH {_L} SELECT doc_id, seg_no, CAST(row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY page, y0, x0, x1, y1) - 1 AS INT) AS i, page, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1 FROM r")
+
+
+def _drawn_tables(s, d):
+    i = F.col("doc_id")
+    return v.documents(s, d).select(F.expr("doc_id div 30").alias("doc_id"), i.alias("table_no"), F.expr("cast(doc_id % 30 div 15 as int)").alias("page"), F.lit(10.0).alias("x0"), (i * 7 % 300).cast("double").alias("y0"), F.lit(30.0).alias("x1"), (i * 7 % 300 + 6).cast("double").alias("y1"))
+
+
+_add("attach_tables", lambda s, d: layout.attach_tables(_drawn_tables(s, d), layout.regions(_placed(s, d))), f"WITH {_L}, t AS (SELECT doc_id // 30 AS doc_id, doc_id AS table_no, doc_id % 30 // 15 AS page, doc_id * 7 % 300 + 3 AS cy FROM documents) SELECT t.doc_id, table_no, CAST(min(seg_no) AS INT) AS seg_no FROM t JOIN r ON t.doc_id = r.doc_id AND t.page = r.page AND cy BETWEEN r.y0 AND r.y1 AND 20 BETWEEN r.x0 AND r.x1 GROUP BY ALL")
+_add("column_bounds", lambda s, d: layout.column_bounds(layout.reading_order(_blocks(s, d))).select("doc_id", "page", "col", (F.col("cx0") * 2).cast("int").alias("cx0"), (F.col("cx1") * 2).cast("int").alias("cx1")), f"WITH {_B}, c AS (SELECT *, x0 + CASE WHEN f THEN 515 ELSE 240 END AS x1, count(*) FILTER (l) OVER p >= 2 AND count(*) FILTER (NOT l AND NOT f) OVER p >= 2 AS two FROM b WINDOW p AS (PARTITION BY doc_id, page)), e AS (SELECT *, CASE WHEN NOT two OR f THEN -1 WHEN l THEN 0 ELSE 1 END AS col FROM c) SELECT doc_id, page, CAST(col AS INT) AS col, CAST(2 * min(x0) AS INT) AS cx0, CAST(2 * max(x1) AS INT) AS cx1 FROM e GROUP BY ALL")
+
+
+def _archived(s, d):
+    exams = v.exams_a(s, d).withColumns({"sha1": F.sha1(F.col("exam_id").cast("string")), "filename": F.lit("f"), "path": F.lit("/f"), "parser": F.lit(2), "scanned_pages": F.lit("")})
+    line = archive.records(exams, v.segments_a(s, d)).select(F.to_json(F.struct("*")).alias("j"))
+    back = line.select(F.from_json("j", schemas.ARCHIVE).alias("r")).select("r.*")
+    return archive.segments(back).join(archive.papers(back).select("sha1", "subject", "n_questions"), "sha1").select("sha1", "seg_no", "number", "subject", "n_questions", F.md5("text").alias("text_md5"))
+
+
+_add("archive_roundtrip", _archived, "WITH $A SELECT sha1(CAST(exam_id AS VARCHAR)) AS sha1, CAST(row_number() OVER (PARTITION BY exam_id ORDER BY segment_id) - 1 AS INT) AS seg_no, number, subject, count(*) OVER (PARTITION BY exam_id) AS n_questions, md5(text) AS text_md5 FROM ex")
+_GRID = [(0, [["a", "b"], ["c"]], 2, 2), (1, [["a", "b"], ["", None]], 0, 0), (2, [["a"], ["b"]], 0, 0), (3, [["a", "b", "c"], ["d", "", ""]], 2, 3), (4, [["a", "", "", ""], ["b", "", "", ""]], 0, 0)]
+
+
+def _grids(s, d):
+    rows = s.createDataFrame([(1, 1, n, 0.0, 0.0, 9.0, 9.0, 1000.0, g) for n, g, _, _ in _GRID], "doc_id int, page int, table_no int, x0 double, y0 double, x1 double, y1 double, page_area double, rows array<array<string>>")
+    return layout.accepted_tables(rows).select("table_no", F.size("rows").alias("n_rows"), F.size(F.element_at(layout.padded("rows"), -1)).alias("n_cols"))
+
+
+_add("accepted_tables", _grids, "SELECT n AS table_no, r AS n_rows, k AS n_cols FROM (VALUES " + ", ".join(f"({n}, {r}, {k})" for n, _, r, k in _GRID) + ") t(n, r, k) WHERE r > 0")

@@ -18,7 +18,7 @@ def records(exams: DataFrame, segments: DataFrame) -> DataFrame:
     cell = {c: F.col(c) if c in have else F.lit(None).cast(absent[c]) for c in _SEGMENT}
     if "rects" in have and "struct" in dict(segments.dtypes)["rects"]:
         cell["rects"] = F.transform("rects", lambda r: F.array(*[r[c].cast("double") for c in ("page", "x0", "y0", "x1", "y1")]))
-    nested = segments.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", *[v.alias(k) for k, v in cell.items()]))).alias("s"))
+    nested = segments.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("seg_no" if "seg_no" in have else "segment_id", *[v.alias(k) for k, v in cell.items()]))).alias("s"))
     fields = [f.split()[0] for f in schemas.ARCHIVE.split(", ")[:10]]
     cols = [F.array_join("scanned_pages", ",").alias(c) if c == "scanned_pages" and dict(exams.dtypes).get(c, "").startswith("array") else (F.col(c) if c in exams.columns else F.lit(None).cast("string")).alias(c) for c in fields]
     out = exams.join(nested, "exam_id", "left")
