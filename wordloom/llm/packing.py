@@ -52,7 +52,8 @@ class Encoder:
     keep their case, and texts with other marks before such a stop or comma are split at white space alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads cost it memory
         from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ class Encoder:
 
     def lookup(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        if len(self.known) + len(words) > CACHE_WORDS // 2:  # what is used again comes back from the older half
+        if len(self.known) + len(words) > self.cache_words // 2:  # what is used again comes back from the older half
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = []
@@ -126,14 +127,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One for each worker process."""
-    if path not in _encoders:
+    if path not in _encoders or _encoders[path].cache_words != cache_words:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache_words)
     return _encoders[path]
 
 
+def release() -> None:
+    """Gives a worker's tokenizer and words back; workers live on for other stages."""
+    _encoders.clear()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -181,12 +187,12 @@ def document_keys(ids: list[bytes]) -> np.ndarray:
     return hilbert_keys(grid, KEY_BITS)
 
 
-def _tokenised(path: str, capacity: int, with_ids: bool):
+def _tokenised(path: str, capacity: int, with_ids: bool, cache_words: int):
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "key") + (("ids",) if with_ids else ())
     kinds = {"ids": pa.list_(pa.int32())}
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, cache_words)
         for batch in batches:
             for part in kernels.slices(batch):
                 out: dict[str, list] = {c: [] for c in names}
@@ -227,6 +233,7 @@ class Bins:
 
 def _packed(capacity: int, window: int, columns: tuple[str, ...]):
     def run(batches):
+        release()
         part, bins, held = TaskContext.get().partitionId(), Bins(capacity), []
 
         def flush(rows):
@@ -248,14 +255,17 @@ def _packed(capacity: int, window: int, columns: tuple[str, ...]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Pieces of documents and their places in sequences; ``with_ids`` adds the token ids of each piece."""
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, window: int = WINDOW, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of documents and their places in sequences; ``with_ids`` adds the token ids of each piece.
+
+    A worker holds ``cache_words`` words at most, about 200 bytes each: fewer cost time, never a result.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     more = ", ids array<int>" if with_ids else ""
-    small = common.materialize(rows.mapInArrow(_tokenised(path, capacity, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + more), "pieces")
+    small = common.materialize(rows.mapInArrow(_tokenised(path, capacity, with_ids, cache_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + more), "pieces")
     ranges = max(1, small.count() // ROWS_PER_RANGE)
     ordered = small.repartitionByRange(ranges, "key", "doc_id", "ids_crc32", "start").sortWithinPartitions("key", "doc_id", "ids_crc32", "start")
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens") + (("ids",) if with_ids else ())
