@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import common, decontam, langid, linetemplates, neardup, packing
 
+#: Workers serve all stages in turn, so packing holds fewer words here than by itself.
+PACKING_CACHE_WORDS = 400_000
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled ones teach."""
@@ -39,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=PACKING_CACHE_WORDS)
 
 
 STAGES = [
