@@ -111,6 +111,32 @@ def test_line_templates(spark, odd, none):
     assert linetemplates.op4_line_templates(none).count() == 0
 
 
+def dropped(spark, docs):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: r for r in linetemplates.drop_recurring_lines(docs).collect()}
+
+
+def own(i, n=12):
+    return " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(n))
+
+
+def test_line_templates_of_a_block_and_beside_copies(spark):
+    block = ["Share this story", "Read more below", "All rights reserved", "Contact our desk"]
+    got = dropped(spark, [(i, "\n".join([own(i), *block, own(i + 100)])) for i in range(8)])
+    assert all(r.text == f"{own(i)}\n{own(i + 100)}" and r.n_dropped == 4 for i, r in got.items())
+    copies = [(100 + i, f"{own(50)}\nSubscribe to us\n{own(51)}") for i in range(60)]
+    got = dropped(spark, [(i, f"{own(i)}\nSubscribe to us\n{own(i + 100)}") for i in range(6)] + copies)
+    assert all(r.n_dropped == 1 and "Subscribe" not in r.text for r in got.values())
+    got = dropped(spark, [(i, f"Home page\nSubscribe to us\nBack to top\n{own(i)}") for i in range(40)])
+    assert all(r.text == own(i) for i, r in got.items())
+
+
+def test_line_templates_keep_the_lines_of_near_copies(spark):
+    lines = [own(i, 20) for i in range(10)]
+    got = dropped(spark, [(i, "\n".join([*lines[:i], lines[i].replace(" ", " edited ", 1), *lines[i + 1 :]])) for i in range(10)])
+    assert all(r.n_dropped == 0 for r in got.values())
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -5,14 +5,14 @@ hold a digit generalised to ``<*>``.  In a leaf, lines are one template if their
 tokens on, if they agree but for one third of them (a variable field); so each line has one full signature and up to
 three with a generalised third, and a template is a signature that recurs.
 
-A template recurs if at least ``min_docs`` documents hold it, in at least ``min_docs`` different surroundings (the
-pair of templates before and after it), and the surroundings number at least ``min_share`` of the documents.  Lines
-of copied documents recur in the same surroundings, so copies are left to the near-duplicate operator.
-All lines of a recurring template are dropped.
+A template recurs if at least ``min_docs`` documents hold it, copies counted once, whatever stands around it and
+however many documents there are.  Candidates are templates of that many distinct texts; only documents that hold one
+are then grouped by the near-duplicate operator (similarity 0.8 of their 5-word shingles), and a group counts as one
+document, so that a text with many near copies keeps its own lines.  All lines of a recurring template are dropped.
 
 Null and empty texts have no lines to drop and come back as they are.  Blank lines are kept and are no template.
 Rows with a null doc_id keep their text.  Repeated rows of one doc_id count as one document and each lose the lines that any of
-them would.  Counting is by signature and surroundings first, so one very common line is spread over many groups.
+them would.  Counting is by signature and text first, so one very common line is spread over many groups.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, kernels
+from . import common, kernels, neardup
 
 LEAD = 3
 MIN_SPLIT = 6
-MIN_DOCS, MIN_SHARE = 5, 0.5
+MIN_DOCS = 5
 _DIGIT = re.compile("[0-9]")
 
 
@@ -57,49 +57,48 @@ def signatures(line: str) -> list[int]:
     return out
 
 
-def document_templates(text: str) -> dict[int, tuple[int, list[int]]]:
-    """signature -> (surroundings of its first line, its line numbers)."""
-    lines = text.split("\n")
-    sigs = [signatures(x) if x and not x.isspace() else None for x in lines]
-    found: dict[int, tuple[int, list[int]]] = {}
-    filled = [i for i, s in enumerate(sigs) if s]
-    for at, i in enumerate(filled):
-        before = sigs[filled[at - 1]][0] if at else 0
-        after = sigs[filled[at + 1]][0] if at + 1 < len(filled) else 0
-        around = hash((before, after))
-        for s in sigs[i]:
-            if s in found:
-                found[s][1].append(i)
-            else:
-                found[s] = (around, [i])
+def document_templates(text: str) -> dict[int, list[int]]:
+    """signature -> its line numbers."""
+    found: dict[int, list[int]] = {}
+    for i, line in enumerate(text.split("\n")):
+        if line and not line.isspace():
+            for s in signatures(line):
+                found.setdefault(s, []).append(i)
     return found
 
 
 def _parse(batches):
     for batch in batches:
         for part in kernels.slices(batch):
-            sig, doc, around, lines = [], [], [], []
+            sig, doc, copy, lines = [], [], [], []
             for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for s, (c, at) in document_templates(text).items():
-                    sig.append(s)
-                    doc.append(d)
-                    around.append(c)
-                    lines.append(at)
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "around": pa.array(around, pa.int64()), "lines": pa.array(lines, pa.list_(pa.int32()))})
+                found = document_templates(text)
+                sig.extend(found)
+                doc.extend([d] * len(found))
+                copy.extend([_hash(text)] * len(found))
+                lines.extend(found.values())
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "copy": pa.array(copy, pa.int64()), "lines": pa.array(lines, pa.list_(pa.int32()))})
 
 
-def recurring_templates(parsed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    pairs = parsed.groupBy("sig", "around").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("n_around"), F.sum("n").alias("n_docs")).where((F.col("n_around") >= min_docs) & (F.col("n_around") >= F.lit(min_share) * F.col("n_docs")))
+def _in_documents(found: DataFrame, column: str, min_docs: int) -> DataFrame:
+    """Signatures with at least min_docs distinct values of column."""
+    return found.select("sig", column).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("sig")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """sig, doc_id, lines of the templates that recur."""
+    parsed = common.materialize(rows.mapInArrow(_parse, "sig long, doc_id long, copy long, lines array<int>"), "templates")
+    held = common.materialize(parsed.select("sig", "doc_id", "lines").join(_in_documents(parsed, "copy", min_docs), "sig", "left_semi"), "held")
+    holders = rows.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    groups = neardup.near_duplicates(holders, **neardup.STAGE).groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    return held.join(_in_documents(held.join(groups, "doc_id"), "component", min_docs), "sig", "left_semi")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of docs, with ``text`` less its recurring lines, and n_lines and n_dropped."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    parsed = rows.mapInArrow(_parse, "sig long, doc_id long, around long, lines array<int>")
-    common_sigs = recurring_templates(parsed, min_docs, min_share).select("sig")
-    drop = parsed.select("sig", "doc_id", "lines").join(common_sigs, "sig", "left_semi").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_drop")).withColumnRenamed("doc_id", "_doc")
+    drop = recurring_lines(rows, min_docs).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_drop")).withColumnRenamed("doc_id", "_doc")
     out = docs.join(drop, F.col("doc_id") == F.col("_doc"), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")

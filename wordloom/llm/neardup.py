@@ -31,6 +31,8 @@ BANDS, ROWS = 24, 4
 HASHES = 256
 #: Members of a bucket that are compared at a time.
 BLOCK = 500
+#: Settings where op8's contract of 0.85 does not bind: similarity 0.8 or more, and a floor five deviations below it.
+STAGE = {"num": 80, "den": 100, "floor": 0.67}
 U32 = np.uint32
 
 
