@@ -85,6 +85,14 @@ def test_neardup_blocks_find_links_of_a_family(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in sets}
 
 
+def test_near_duplicate_stage_drops_from_0_8_up(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, words[:100]), (2, words[:83]), (3, words[200:324]), (4, words[200:300]), (5, words[340:400]), (6, words[340:386])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == [1, 3, 5, 6]
+    assert neardup.op8_minhash_near_dedup(docs).where("kept").count() == 6
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 1), (3, 1)] + [(100 + i, 101 + i) for i in range(20)], "a long, b long")
     got = {r.node: r.component for r in components.connected(e).collect()}
