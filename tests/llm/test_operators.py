@@ -119,6 +119,10 @@ def test_line_templates(spark, odd, none):
     assert linetemplates.op4_line_templates(none).count() == 0
 
 
+def test_letters_of_every_plane():
+    assert langid.ngrams(["\U00020000\U0002a700 \U00030000", "a\U0010ffff", "\U0001f600"])[1].tolist() == [3, 1, 0]
+
+
 def dropped(spark, docs):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     return {r.doc_id: r for r in linetemplates.drop_recurring_lines(docs).collect()}

@@ -27,7 +27,7 @@ _letters: list[np.ndarray] = []
 
 def _letter_table() -> np.ndarray:
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x20000)), bool, 0x20000))
+        _letters.append(np.fromiter((chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
