@@ -1,22 +1,20 @@
 """Size-partitioned MinHash containment search, in DataFrame functions only.
 
-Short reference texts (benchmark items, licence templates) are looked for inside long documents.  References are
-partitioned by size (number of five-word shingles); each partition has its own text windows, cut so that every
-run of shared shingles that a match of the partition leaves holds a whole window:
-
-* 10 shingles or more: windows of 5, one every 4 (a run of 8 holds one; containment of 0.8 with one broken spot
-  for each 25 shingles leaves such a run);
-* 5 to 9: windows of 2, one every 3 (a run of 4 holds one);
-* fewer: every shingle is a window.
-
-A window's bands are its minima under several hash permutations, one row each, so two equal windows agree in every
-band (collision probability 1), and windows of Jaccard similarity s agree in some band with 1 - (1 - s)^bands.  A band
-is kept as the shingle hash that attains its minimum; equal ones of neighbouring windows are probed once.  A hash
-that agrees makes a pair; pairs are then verified by exact containment of the reference's shingles (as text) in
-the whole document.  References are indexed at every offset, documents at every stride.
-
-Documents stay in place: one scan, a probe of the broadcast index for each window, and verification beside it.
-The index is broadcast only while it has at most ``max_broadcast`` rows; beyond that the same probe is a shuffle join.
+Short reference texts (benchmark items, licence templates) are looked for inside long documents.  A set's elements are
+its overlapping windows of five words (shingles), hashed.  One permutation orders the shingles of all references: by
+the number of references that hold one, then by hash.  A reference's bands are its least values under it, one row
+each, and their number depends on its size n: a text that holds at least t of n shingles lacks n - t at most, so
+of any n - t + 1 of them it holds one.  With that many bands (1 for n = 1, 3 for 10, 7 for 30 at t = 0.8 n) a match
+meets its reference with probability 1, however its shared shingles are scattered.  Since shingles of few references come
+first, a stem that thousands of items share is no band of theirs unless they hold hardly anything else.
+
+Every window of every text probes the references' shingles.  A hit brings the shingle and the references of which it is a
+band; hits are gathered by text, and each reference so retrieved is verified by exact containment of its whole set
+among the text's hits.  Sets are compared by 64-bit hashes of shingles.
+
+There is one plan for every size.  Up to ``max_broadcast`` shingles of references, both small tables are broadcast.
+Beyond, the same joins shuffle, with both keys salted, so a shingle or reference that a third of all texts
+hold is spread over SALTS tasks; texts themselves never move, only their hits.
 """
 
 from __future__ import annotations
@@ -27,10 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 5
-#: (partition, least shingles, most shingles, window, stride)
-PARTITIONS = ((0, 1, 4, 1, 1), (1, 5, 9, 2, 3), (2, 10, None, 5, 4))
+SALTS = 16
+MAX_BROADCAST = 200_000
 _BETWEEN = r"(?:(?<!\p{Punct})\p{Punct}++)?+[ \t-\r]++\p{Punct}*+|^\p{Punct}++|(?<!\p{Punct})\p{Punct}++\z"
-MASKS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x2545F4914F6CDD1D)
 
 
 def normal_words(text: Column) -> Column:
@@ -49,76 +46,56 @@ def shingle_hashes(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def shingle_texts(words: Column) -> Column:
-    return F.when(
-        F.size(words) >= WORDS,
-        F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(WORDS - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, WORDS))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def window_minima(hashes: Column, window: int, stride: int, mask: int) -> Column:
-    """For each window the hash that is least under one permutation; the last window ends with the text."""
-    if window == 1:
-        return hashes
-    order = lambda h: h.bitwiseXOR(F.lit(mask)) if mask else h
-    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - F.lit(window - 1), F.lit(1)), F.lit(stride))
-    minimum = lambda i: order(F.least(*[order(F.get(hashes, F.least(i + F.lit(k - 1), F.size(hashes) - 1))) for k in range(window)]))
-    return F.when(F.size(hashes) > 0, F.transform(starts, minimum)).otherwise(F.array().cast("array<bigint>"))
+def hashed(text: Column) -> Column:
+    return common.let(normal_words(text), shingle_hashes)
 
 
-def bands_of(hashes: Column, parts, bands: int, strides: bool) -> Column:
-    """Distinct band values of all windows of these partitions."""
-    rows = [window_minima(hashes, window, stride if strides else 1, MASKS[band]) for _, _, _, window, stride in parts for band in range(bands if window > 2 else 1)]
-    return F.array_distinct(F.concat(*rows) if len(rows) > 1 else rows[0])
-
-
-def references(refs: DataFrame, ref_id: str) -> DataFrame:
-    """ref, h and s (distinct shingles as hashes and texts), n and the partition that n falls in."""
-    part = F.coalesce(*[F.when((F.lit(most) >= F.col("n")) if most else F.lit(True), F.lit(p)) for p, _, most, _, _ in PARTITIONS])
-    return (
+def references(refs: DataFrame, ref_id: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(ref, ref_n, ref_shingles, bands) of the references that have a shingle, and (value, refs): for each of their
+    shingles the references of which it is a band.  Rows that repeat an id are one reference for each distinct set."""
+    sets = (
         refs.where(F.col(ref_id).isNotNull())
-        .select(F.col(ref_id).alias("ref"), common.let(normal_words(F.col("text")), lambda w: F.struct(shingle_hashes(w).alias("h"), F.array_distinct(shingle_texts(w)).alias("s"))).alias("x"))
-        .select("ref", F.col("x.h").alias("h"), F.col("x.s").alias("s"), F.size("x.s").alias("n"))
-        .where("n > 0")
-        .withColumn("part", part)
+        .select(F.col(ref_id).alias("ref"), F.array_sort(F.array_distinct(hashed(F.col("text")))).alias("ref_shingles"))
+        .where(F.size("ref_shingles") > 0)
+        .distinct()
+    )
+    each = sets.select("ref", "ref_shingles", F.explode("ref_shingles").alias("value"))
+    held = each.groupBy("value").agg(F.count(F.lit(1)).alias("held"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("held", "value"))), lambda x: x["value"])
+    n = F.size("ref_shingles")
+    sketches = (
+        each.join(held, "value").groupBy("ref", "ref_shingles").agg(ordered.alias("o"))
+        .select("ref", n.alias("ref_n"), "ref_shingles", F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")).alias("bands"))
     )
+    sketches = common.materialize(sketches, "references")
+    banded = sketches.select(F.explode("bands").alias("value"), F.struct("ref", "ref_n", F.xxhash64("ref_shingles").alias("set")).alias("r"))
+    unbanded = sketches.select(F.explode("ref_shingles").alias("value"), F.lit(None).cast(banded.schema["r"].dataType).alias("r"))
+    return sketches, banded.unionByName(unbanded).groupBy("value").agg(F.collect_set("r").alias("refs"))
 
 
-def search(docs: DataFrame, refs: DataFrame, ref_id: str, threshold: float = 0.8, bands: int = 2, max_broadcast: int = 200_000, doc_id: str = "doc_id") -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """An inner join whose keys are dealt over SALTS tasks each: by ``spread`` on the big side, copied on the small one."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def search(docs: DataFrame, refs: DataFrame, ref_id: str, threshold: float = 0.8, max_broadcast: int = MAX_BROADCAST, doc_id: str = "doc_id") -> DataFrame:
     """Pairs (doc_id, ref, n_shared, ref_n, containment) with containment of at least ``threshold``.
 
     Nulls: a null text has no words; null ids are dropped on either side.  References of fewer than five words
-    have no shingle and match nothing.  Repeated rows of one id: the best of them counts.
+    have no shingle and match nothing.  Rows that repeat an id are texts of their own: a pair is found if one
+    text of doc_id holds enough of one text of ref, and the pair of texts with the highest containment (then the longest
+    reference) counts.
     """
-    base = references(refs, ref_id)
-    counted = {r["part"]: r["n"] for r in base.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    wanted = [p for p in PARTITIONS if p[0] in counted]
-    if not wanted:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast(dict(refs.dtypes)[ref_id]).alias("ref"), F.lit(0).alias("n_shared"), F.lit(0).alias("ref_n"), F.lit(0.0).alias("containment")).where("false")
-    fits = sum(counted.values()) * bands <= max_broadcast
-    index = F.coalesce(*[F.when(F.col("part") == p[0], bands_of(F.col("h"), [p], bands, False)) for p in wanted])
-    lookup = base.select(F.explode(index).alias("value"), "ref").groupBy("value").agg(F.collect_set("ref").alias("refs"))
-
+    sketches, index = references(refs, ref_id, threshold)
+    fits = int(sketches.agg(F.coalesce(F.sum("ref_n"), F.lit(0))).first()[0]) <= max_broadcast
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    probed = common.let(common.let(normal_words(F.col("text")), shingle_hashes), lambda h: bands_of(h, wanted, bands, True))
-    checks = base.select("ref", F.col("s").alias("ref_shingles"), F.col("n").alias("ref_n"))
-    if fits:
-        windows = rows.select("doc_id", "text", F.explode(probed).alias("value"))
-        matched = windows.join(F.broadcast(lookup), "value").groupBy("doc_id").agg(F.flatten(F.collect_set("refs")).alias("refs"), F.max("text").alias("text"))
-    else:  # texts stay out of that shuffle and are fetched for the pairs alone
-        pairs = rows.select("doc_id", F.explode(probed).alias("value")).join(lookup, "value").groupBy("doc_id").agg(F.flatten(F.collect_set("refs")).alias("refs"))
-        matched = pairs.join(rows, "doc_id")
-    # Shingled once for all its references; the generator keeps the result from being computed again for each.
-    shingled = matched.select("doc_id", F.inline(F.array(F.struct(F.array_distinct("refs").alias("refs"), F.array_distinct(doc_shingles(F.col("text"))).alias("shingles")))))
-    matched = shingled.select("doc_id", "shingles", F.explode("refs").alias("ref")).join(F.broadcast(checks) if fits else checks, "ref")
-    shared = F.size(F.array_intersect(F.col("ref_shingles"), F.col("shingles")))
-    return (
-        matched.select("doc_id", "ref", "ref_n", shared.alias("n_shared"))
-        .groupBy("doc_id", "ref").agg(F.max("n_shared").alias("n_shared"), F.first("ref_n").alias("ref_n"))
-        .where(F.col("n_shared") >= F.lit(threshold) * F.col("ref_n"))
-        .withColumn("containment", F.col("n_shared") / F.col("ref_n"))
-    )
-
-
-def doc_shingles(text: Column) -> Column:
-    return common.let(normal_words(text), shingle_texts)
+    windows = rows.select("doc_id", F.xxhash64("text").alias("row"), F.explode(hashed(F.col("text"))).alias("value"))
+    hits = windows.join(F.broadcast(index), "value") if fits else _salted(windows, index, ["value"], "row")
+    gathered = hits.groupBy("doc_id", "row").agg(F.collect_set("value").alias("values"), F.flatten(F.collect_set("refs")).alias("refs"))
+    retrieved = gathered.select("doc_id", "row", "values", F.explode(F.array_distinct("refs")).alias("r")).select("doc_id", "row", "values", "r.*")
+    checks = sketches.select("ref", F.xxhash64("ref_shingles").alias("set"), "ref_shingles")
+    pairs = retrieved.join(F.broadcast(checks), ["ref", "set"]) if fits else _salted(retrieved, checks, ["ref", "set"], "row")
+    found = pairs.select("doc_id", "ref", "ref_n", F.size(F.array_intersect("ref_shingles", "values")).alias("n_shared")).where(F.col("n_shared") >= F.lit(threshold) * F.col("ref_n"))
+    best = F.max(F.struct((F.col("n_shared") / F.col("ref_n")).alias("containment"), "ref_n", "n_shared")).alias("b")
+    return found.groupBy("doc_id", "ref").agg(best).select("doc_id", "ref", "b.n_shared", "b.ref_n", "b.containment")

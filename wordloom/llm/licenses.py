@@ -1,6 +1,6 @@
-"""License scans: licence notices found inside documents by MinHash bands over text windows, exact containment after.
+"""License scans: licence notices found inside documents by MinHash bands over overlapping text windows, exact containment after.
 
-Every stage is a DataFrame function; see containment.py for windows, bands and their collision guarantee.
+Every stage is a DataFrame function; see containment.py for windows, bands and their collision guarantee, and for repeated rows.
 """
 
 from __future__ import annotations
@@ -42,10 +42,12 @@ def scan(docs: DataFrame, refs: DataFrame | None = None, threshold: float = 0.8)
     and empty tables give none; a text of any length is scanned whole.  Where notices share their wording,
     each that is contained is reported.
     """
-    refs = templates(docs.sparkSession) if refs is None else refs.select("template_id", "license", "text")
+    bounded = refs is None  # the built-in notices are few; a caller's may be any number
+    refs = templates(docs.sparkSession) if bounded else refs.select("template_id", "license", "text")
     found = containment.search(docs, refs, "template_id", threshold)
-    names = refs.select(F.col("template_id").alias("ref"), "license")
-    return found.join(F.broadcast(names), "ref").select("doc_id", "license", F.col("ref").alias("template_id"), F.col("n_shared").cast("long"), F.col("ref_n").cast("long").alias("n_shingles"))
+    names = refs.select(F.col("template_id").alias("ref"), "license").distinct()
+    names = F.broadcast(names) if bounded else names
+    return found.join(names, "ref").select("doc_id", "license", F.col("ref").alias("template_id"), F.col("n_shared").cast("long"), F.col("ref_n").cast("long").alias("n_shingles"))
 
 
 def op3_license_scan(docs: DataFrame) -> DataFrame:
@@ -58,8 +60,8 @@ OP3_SQL = (
     f"tw AS (SELECT template_id, license, {_WORDS.format('text')} AS w FROM t),\n"
     "ts AS (SELECT DISTINCT template_id, license, array_to_string(w[i:i + 4], ' ') AS s FROM tw, unnest(range(1, len(w) - 3)) AS r(i)),\n"
     "tn AS (SELECT template_id, license, count(*) AS n FROM ts GROUP BY ALL),\n"
-    f"dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),\n"
-    "ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) AS r(i)),\n"
-    "m AS (SELECT doc_id, template_id, count(*) AS c FROM ds JOIN ts USING (s) GROUP BY ALL)\n"
-    "SELECT doc_id, license, CAST(template_id AS INTEGER) AS template_id, CAST(c AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_shingles FROM m JOIN tn USING (template_id) WHERE c >= 0.8 * n"
+    f"dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),\n"
+    "ds AS (SELECT DISTINCT dw.r, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) AS x(i)),\n"
+    "m AS (SELECT r, doc_id, template_id, count(*) AS c FROM ds JOIN ts USING (s) GROUP BY ALL)\n"
+    "SELECT doc_id, license, CAST(template_id AS INTEGER) AS template_id, CAST(max(c) AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_shingles FROM m JOIN tn USING (template_id) WHERE c >= 0.8 * n GROUP BY ALL"
 )
