@@ -7,7 +7,9 @@ documents probe that index.  Around the hits, runs of ``window`` words are compa
 
 Documents are dealt to chunks by doc_id.  Each step sends one compressed blob for a pair of chunk and hash
 bucket, with what occurs often in a chunk sent once, so a passage that a third of the documents hold costs a
-bucket one entry for each chunk.  Nothing is collected, and a lost executor costs the tasks it had.
+bucket one entry for each chunk.  Nothing is collected, and a lost executor costs the tasks it had.  All work is linear
+in the words of a chunk; blobs hold ``chunk_bytes * bucket_bytes / bytes of text`` bytes' worth of keys, so from some
+10 TB on raise both sizes with the executors' memory, or blobs shrink to single keys.
 
 Nulls: a null text has no words.  Rows with a null doc_id are dropped, since order among them is undefined.
 Repeated rows of one doc_id count as one document (they never remove each other's words).  Empty tables give
@@ -33,10 +35,10 @@ MASK32 = U64(0xFFFFFFFF)
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>"
 
 
-def _group(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) over values sorted by bucket."""
-    cuts = np.searchsorted(values, np.arange(buckets + 1))
-    return [(b, int(cuts[b]), int(cuts[b + 1])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+def _group(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets present in values sorted by bucket, however many there are in all."""
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return list(zip(values[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(values)).tolist(), strict=False))
 
 
 def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def _index_and_probes(block: int, buckets: int):
         new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         flags = np.logical_or.reduceat(a, new).astype(U64) | ((np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)).astype(U64) << U64(1))
         k = k[new] | flags
-        rows = _group(k >> U64(32), buckets)
+        rows = _group(k >> U64(32))
         return pa.table({"bucket": pa.array([b for b, _, _ in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "blob": pa.array([kernels.pack_sorted((k[x:y] & MASK32).astype(np.uint32)) for _, x, y in rows], pa.binary())})
 
     return run
@@ -95,8 +97,45 @@ def _match(key, table):
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([int(bucket >> U64(32))] * len(chunks), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _run_hashes(words: kernels.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return kernels.windows(words, window, seed=1)
+def _run_hashes(words: kernels.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit hash of every run, with its document and first word."""
+    a, owner, first = kernels.windows(words, window, seed=1)
+    return a, kernels.windows(words, window, seed=2)[0], owner, first
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal 128-bit hashes lie together, and the places in it where another one begins."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    if np.any((x[1:] == x[:-1]) & (y[1:] != y[:-1])):  # two runs share 64 bits: tell them apart by the others
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+    return order, np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(a) else np.zeros(0, np.int64)
+
+
+class Known:
+    """The smallest document of each known run, by all 128 bits."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, least: np.ndarray):
+        order = np.lexsort((b, a))
+        self.a, self.b, self.least = a[order], b[order], least[order]
+        self.lookup = kernels.Lookup(self.a)
+        self.first = np.searchsorted(self.a, self.lookup.keys)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known runs among those asked for, and their smallest documents."""
+        at, key = self.lookup.find(a)
+        place = self.first[key]
+        while True:  # on to the next run of the same first half, as long as one differs in the second
+            other = np.flatnonzero(self.b[place] != b[at])
+            on = place[other] + 1
+            more = (on < len(self.a)) & (self.a[np.minimum(on, len(self.a) - 1)] == a[at[other]])
+            place[other[more]] += 1
+            keep = np.ones(len(at), bool)
+            keep[other[~more]] = False
+            at, place = at[keep], place[keep]
+            if not more.any():
+                return at, self.least[place]
 
 
 def _extend(block: int, window: int, buckets: int, run_buckets: int):
@@ -113,24 +152,22 @@ def _extend(block: int, window: int, buckets: int, run_buckets: int):
             hit = np.zeros(len(words.hash) + 1, np.int32)
             hit[first[known.find(k)[0]] + 1] = 1
             before = np.cumsum(hit, dtype=np.int32)
-            a, owner, start = _run_hashes(words, window)
+            a, b, owner, start = _run_hashes(words, window)
             near = before[start + window - block + 1] > before[start]
-            b, _, _ = kernels.windows(words, window, seed=2)
             h1.append(a[near])
             h2.append(b[near])
             doc.append(np.asarray(part.column("doc_id"))[owner[near]])
         a, b, d = np.concatenate(h1), np.concatenate(h2), np.concatenate(doc).astype(np.int64)
         if not len(a):
             return pa.table(empty)
-        order = np.argsort(a, kind="stable")
+        order, new = _runs(a, b)
         a, b, d = a[order], b[order], d[order]
-        new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         low, high = np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)
         a, b = a[new], b[new]
         bucket = (a % U64(run_buckets)).astype(np.int64)
         order = np.lexsort((low, bucket))
         a, b, low, many, bucket = a[order], b[order], low[order], (high != low)[order], bucket[order]
-        rows = _group(bucket, run_buckets)
+        rows = _group(bucket)
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()),
             "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
@@ -150,24 +187,20 @@ def _first_holder(key, table):
     flat, flat2 = np.concatenate(h), np.concatenate([np.frombuffer(x, U64) for x in table.column("h2").to_pylist()])
     low = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)) for x, n in zip(table.column("doc").to_pylist(), sizes, strict=True)])
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table.column("many").to_pylist(), sizes, strict=True)])
-    order = np.argsort(flat, kind="stable")
-    a, b = flat[order], flat2[order]
-    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):  # two runs share 64 bits: tell them apart by the others
-        order = np.lexsort((flat2, flat))
-        a, b = flat[order], flat2[order]
-    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    order, new = _runs(flat, flat2)
     least = np.empty(len(flat), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[order], new), np.diff(np.append(new, len(flat))))
     tell = many | (low > least)
-    chunks, hs, docs, at = [], [], [], 0
+    chunks, hs, h2s, docs, at = [], [], [], [], 0
     for chunk, n in zip(table.column("chunk").to_pylist(), sizes, strict=True):
         pick = np.flatnonzero(tell[at : at + n]) + at
         if len(pick):
             chunks.append(chunk)
             hs.append(flat[pick].tobytes())
+            h2s.append(flat2[pick].tobytes())
             docs.append(pa.compress(least[pick].tobytes(), codec="zstd", asbytes=True))
         at += n
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "h": pa.array(hs, pa.binary()), "doc": pa.array(docs, pa.binary())})
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "h": pa.array(hs, pa.binary()), "h2": pa.array(h2s, pa.binary()), "doc": pa.array(docs, pa.binary())})
 
 
 def _cut(window: int):
@@ -176,18 +209,16 @@ def _cut(window: int):
         if runs.num_rows:
             h = [np.frombuffer(x, U64) for x in runs.column("h").to_pylist()]
             least = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=8 * len(y), codec="zstd", asbytes=True), np.int64) for x, y in zip(runs.column("doc").to_pylist(), h, strict=True)])
-            flat = np.concatenate(h)
-            order = np.argsort(flat, kind="stable")
-            least, known = least[order], kernels.Lookup(flat)
+            known = Known(np.concatenate(h), np.concatenate([np.frombuffer(x, U64) for x in runs.column("h2").to_pylist()]), least)
         for part in kernels.slices(docs):
             words = kernels.Words(part.column("text"), hashed=bool(runs.num_rows))
             ids = np.asarray(part.column("doc_id"))
             n = len(words.start)
             gone = np.zeros(n, bool)
             if runs.num_rows and n:
-                hh, owner, first = _run_hashes(words, window)
-                at, place = known.find(hh)
-                late = at[least[place] < ids[owner[at]]]
+                a, b, owner, first = _run_hashes(words, window)
+                at, least = known.find(a, b)
+                late = at[least < ids[owner[at]]]
                 edges = np.zeros(n + 1, np.int64)
                 np.add.at(edges, first[late], 1)
                 np.add.at(edges, first[late] + window, -1)
@@ -237,7 +268,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = CHUNK_B
     probes = dealt.groupBy("chunk").applyInArrow(_index_and_probes(block, buckets), "bucket long, chunk long, blob binary")
     hits = probes.groupBy("bucket").applyInArrow(_match, "chunk long, bucket long, blob binary")
     runs = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend(block, window, buckets, buckets), "bucket long, chunk long, h binary, h2 binary, doc binary, many binary")
-    first = runs.groupBy("bucket").applyInArrow(_first_holder, "chunk long, h binary, doc binary")
+    first = runs.groupBy("bucket").applyInArrow(_first_holder, "chunk long, h binary, h2 binary, doc binary")
     return dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_cut(window), OUT)
 
 
