@@ -4,15 +4,20 @@ An Aho-Corasick automaton lists, for each end position, the vocabulary pieces th
 programming carries the best score and its number of pieces, and no path is kept.  Ties are the tokenizer's:
 among equal scores the piece that starts first (the longest) stays, as only a strictly better one replaces it.  A
 character that is no piece of its own may be unknown, at the lowest score less 10, and then counts as its UTF-8
-bytes (byte fallback) where the vocabulary has them, else one.
+bytes (byte fallback) where the vocabulary has them, else a run of them as one.
 
-Spaces become the word mark and the text is led by one.  Where no piece runs across the start of a word,
-a text's best path is its words' best paths, so words are counted once and cached; otherwise whole texts are searched.
-Null and empty texts have no tokens.
+The public vocabularies hold merges and no probabilities, and none is trained here: a piece's score is its log-probability
+under Zipf's law over the vocabulary's own ranks, in steps of 2 ** -16, so that sums are exact and ties are ties.
+
+Spaces become the word mark and the text is led by one; a word mark in the text is a space.  Where no piece runs across
+the start of a word, a text's best path is its words' best paths, so words are counted once and cached (but for very long
+ones, so a cache is bounded in bytes); otherwise whole texts are searched, in memory linear in the text.
+Null and empty texts have no tokens; rows that repeat are counted each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -23,14 +28,22 @@ from . import common, kernels
 
 MARK = "▁"
 CACHE_WORDS = 1_200_000
+#: Characters of the longest word that is remembered.
+CACHED_CHARS = 64
+STEP = 1 << 16
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece model, in order of ids."""
+    """(piece, log-probability) of a sentencepiece model's pieces, in order of ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i)), 1)}
+    total = math.log(sum(1 / r for r in rank.values()))
+    score = lambda r: -round((math.log(r) + total) * STEP) / STEP
+    return [(model.id_to_piece(i), score(rank.get(i, len(ids)))) for i in ids]
 
 
 def default_vocabulary() -> str:
@@ -51,38 +64,48 @@ class Counter:
         pieces = {p for p, _ in vocabulary}
         self.unknown = min(s for _, s in vocabulary) - 10.0
         self.fallback = all(f"<0x{b:02X}>" in pieces for b in range(256))
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces)
+        # Without fallback a run of unknown characters is one token, also across the start of a word.
+        self.by_word = self.fallback and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.line_free = not any("\n" in p for p in pieces)
         self.words: dict[str, int] = {}
         self.heads: dict[str, int] = {}
 
     def best(self, text: str) -> int:
         """Pieces on the best path over text as it is."""
-        n, done, unknown = len(text), 0, self.unknown
+        n, done = len(text), 0
         score: list = [None] * (n + 1)
-        score[0], count, single = 0.0, [0] * (n + 1), bytearray(n + 1)
+        score[0], count, single, gap = 0.0, [0] * (n + 1), bytearray(n + 1), bytearray(n + 1)
         for last, (length, s) in self.automaton.iter(text):
             while done < last:  # no piece of an earlier end is to come
                 done += 1
                 if not single[done]:
-                    self._single(text, done, score, count, unknown)
+                    self._single(text, done, score, count, gap)
             start = last + 1 - length
             new, had = score[start] + s, score[last + 1]
             if had is None or new > had:
-                score[last + 1], count[last + 1] = new, count[start] + 1
+                score[last + 1], count[last + 1], gap[last + 1] = new, count[start] + 1, 0
             if length == 1:
                 single[last + 1] = 1
         while done < n:
             done += 1
             if not single[done]:
-                self._single(text, done, score, count, unknown)
+                self._single(text, done, score, count, gap)
         return count[n]
 
-    def _single(self, text: str, e: int, score: list, count: list, unknown: float) -> None:
+    def _single(self, text: str, e: int, score: list, count: list, gap: bytearray) -> None:
         """The unknown character that ends at e: tried last, as it starts last."""
-        new = score[e - 1] + unknown
+        new = score[e - 1] + self.unknown
         if score[e] is None or new > score[e]:
-            score[e], count[e] = new, count[e - 1] + (len(text[e - 1].encode("utf-8", "surrogatepass")) if self.fallback else 1)
+            tokens = len(text[e - 1].encode("utf-8", "surrogatepass")) if self.fallback else 1 - gap[e - 1]
+            score[e], count[e], gap[e] = new, count[e - 1] + tokens, 1
+
+    def _word(self, word: str, known: dict[str, int], mark: str) -> int:
+        n = known.get(word)
+        if n is None:
+            n = self.best(mark + word)
+            if len(word) <= CACHED_CHARS:
+                known[word] = n
+        return n
 
     def _line(self, line: str, first: bool) -> int:
         words = line.split(" ")
@@ -92,23 +115,18 @@ class Counter:
         known, total = self.words, 0
         if not first:
             head = words.pop(0)
-            if head:
-                total = self.heads.get(head)
-                if total is None:
-                    total = self.heads[head] = self.best(head)
+            total = self._word(head, self.heads, "") if head else 0
         try:
             return total + sum(map(known.__getitem__, words))
         except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.best(MARK + w)
-            return total + sum(map(known.__getitem__, words))
+            return total + sum(self._word(w, known, MARK) for w in words)
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if not self.by_word:
             return self.best(MARK + text.replace(" ", MARK))
+        text = text.replace(MARK, " ")
         if len(self.words) + len(self.heads) > CACHE_WORDS:
             self.words.clear()
             self.heads.clear()
