@@ -7,7 +7,7 @@ scaled by the square root of its length), quantised, and mapped to its Hilbert k
 Documents over ``capacity`` tokens are cut every ``capacity`` tokens from their start; others stay whole.  So pieces
 are known when a text has been tokenised, once, and only small rows move afterwards: a range sort, then best-fit
 decreasing over windows of ``window`` neighbouring pieces, with sequences that still have room carried on to the
-next window.  Ranges' numbers of sequences (one number each) are added up on the driver.
+next window.  Ranges' numbers of sequences (one number each, MAX_RANGES at most) are added up on the driver.
 
 Null and empty texts are just the end token.  Rows with a null doc_id are dropped.  Rows that repeat a doc_id
 are packed once each, whether their texts are equal or not.
@@ -33,7 +33,10 @@ CAPACITY = 4096
 END_ID = 2
 DIMS, KEY_BITS = 3, 10
 CACHE_WORDS = 1_200_000
-ROWS_PER_RANGE = 20_000
+#: Bytes of the longest word that is remembered.
+CACHED_BYTES = 64
+#: Pieces of a range, and ranges at most: the driver adds up one number for each, and sends one row for each.
+ROWS_PER_RANGE, MAX_RANGES = 20_000, 10_000
 WINDOW, OPEN = 2048, 64
 
 STOPS, WORDY = np.zeros(256, bool), np.zeros(256, bool)
@@ -85,14 +88,16 @@ class Encoder:
         """Ids of distinct words."""
         if len(self.known) + len(words) > self.cache_words // 2:  # what is used again comes back from the older half
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        known, older, long = self.known, self.older, {}
         new = []
         for w in words:
             if w not in known:
                 if w in older:
                     known[w] = older[w]
-                else:
+                elif len(w) <= CACHED_BYTES:
                     new.append(w)
+                elif w not in long:
+                    long[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         plain = [w for w in new if w.isascii() and b"<" not in w]  # encoded together: a blank always parts two words
         for at in range(0, len(plain), 5_000):
             some = plain[at : at + 5_000]
@@ -106,7 +111,7 @@ class Encoder:
             some = other[at : at + 5_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
-        return [known[w] for w in words]
+        return [known[w] if len(w) <= CACHED_BYTES else long[w] for w in words]
 
     @staticmethod
     def spaced(text: bytes) -> bytes:
@@ -266,7 +271,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     more = ", ids array<int>" if with_ids else ""
     small = common.materialize(rows.mapInArrow(_tokenised(path, capacity, with_ids, cache_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + more), "pieces")
-    ranges = max(1, small.count() // ROWS_PER_RANGE)
+    ranges = min(max(1, small.count() // ROWS_PER_RANGE), MAX_RANGES)
     ordered = small.repartitionByRange(ranges, "key", "doc_id", "ids_crc32", "start").sortWithinPartitions("key", "doc_id", "ids_crc32", "start")
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens") + (("ids",) if with_ids else ())
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + more + ", range int, seq long, offset long"
