@@ -1,16 +1,21 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counting and scoring are vectorised per Arrow batch.  Counts of each task are added up by (language, slice of the
-feature space) before the model reaches the driver, whose size is languages x features and nothing else.
+feature space) before the model reaches the driver.  Languages x features is MODEL_CELLS at most, for any number of languages:
+with more than MODEL_CELLS / 2 ** BITS of them, features get fewer bits.  A task holds HELD_LANGUAGES counters at a time.
 
 A text is lower-cased; anything but letters counts as a word break.  Null texts and texts without a letter get
-``und`` and score 0.  Rows without a language teach nothing.  With no labelled row at all, everything is ``und``.
+``und`` and score 0.  Rows without a language teach nothing; rows that repeat teach, and are scored, each.  Among languages
+of equal score the first by name is taken.  With no labelled row at all, everything is ``und``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +25,9 @@ BITS = 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
 SLICES = 16
-#: Rows of the model that the driver takes at most.
-MAX_LANGUAGES = 512
+#: Cells of the model at most (8 bytes each), which bounds what is collected and broadcast.
+MODEL_CELLS = 1 << 25
+HELD_LANGUAGES = 64
 _letters: list[np.ndarray] = []
 
 
@@ -57,12 +63,32 @@ def ngrams(texts: list[str | None], bits: int = BITS) -> tuple[list[tuple[np.nda
     return list(zip(ids, ends, strict=True)), letters
 
 
+def few(part):
+    """The rows of a part in pieces of a few languages each."""
+    names = sorted(set(part.column("lang").to_pylist()))
+    for at in range(0, len(names), HELD_LANGUAGES):
+        yield part if len(names) <= HELD_LANGUAGES else part.filter(pc.is_in(part.column("lang"), pa.array(names[at : at + HELD_LANGUAGES])))
+
+
 def _count(bits: int):
+    step = (1 << bits) // SLICES
+
+    def emit(held, docs):
+        for x, counts in held.items():
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([x] * SLICES), "part": pa.array(range(SLICES), pa.int32()),
+                "docs": pa.array([docs[x]] * SLICES, pa.int64()),
+                "counts": pa.array([pa.compress(counts[i * step : (i + 1) * step].astype(np.int64).tobytes(), codec="zstd", asbytes=True) for i in range(SLICES)], pa.binary()),
+            })
+
     def run(batches):
         held: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
-            for part in kernels.slices(batch):
+        for part in (p for batch in batches for some in kernels.slices(batch) for p in few(some)):
+            if len(held) > HELD_LANGUAGES:
+                yield from emit(held, docs)
+                held, docs = {}, {}
+            if part.num_rows:
                 langs = part.column("lang").to_pylist()
                 orders, _ = ngrams(part.column("text").to_pylist(), bits)
                 names = sorted(set(langs))
@@ -73,13 +99,7 @@ def _count(bits: int):
                 for i, x in enumerate(names):
                     held[x] = held[x] + counts[i] if x in held else counts[i]
                     docs[x] = docs.get(x, 0) + langs.count(x)
-        for x, counts in held.items():
-            step = len(counts) // SLICES
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([x] * SLICES), "part": pa.array(range(SLICES), pa.int32()),
-                "docs": pa.array([docs[x]] * SLICES, pa.int64()),
-                "counts": pa.array([pa.compress(counts[i * step : (i + 1) * step].astype(np.int64).tobytes(), codec="zstd", asbytes=True) for i in range(SLICES)], pa.binary()),
-            })
+        yield from emit(held, docs)
 
     return run
 
@@ -102,31 +122,34 @@ class Model:
     def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
         self.langs, self.logp, self.prior = langs, logp, prior
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its posterior, and its log-probability of an n-gram of the text, on average."""
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits = int(self.logp.shape[1]).bit_length() - 1
         orders, letters = ngrams(texts, bits)
-        scores = np.zeros((len(texts), len(self.langs)))
+        scores, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for ids, off in orders:
             full = np.flatnonzero(np.diff(off))
+            size += np.diff(off)
             for i in range(len(self.langs) if len(full) else 0):
                 scores[full, i] += np.add.reduceat(self.logp[i][ids], off[:-1][full])
         scores += self.prior
         best = scores.argmax(1)
         top = 1 / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
         known = letters > 0
-        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, top, 0.0)
+        mean = np.where(known, (scores[np.arange(len(texts)), best] - self.prior[best]) / np.maximum(size, 1), 0.0)
+        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, top, 0.0), mean
 
 
 def fit(docs: DataFrame, bits: int = BITS) -> Model:
     """Learn from every row with a text and a language."""
     common.small_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    n = rows.select("lang").distinct().count()
+    bits = min(bits, max(4, (MODEL_CELLS // max(n, 1)).bit_length() - 1))
     parts = rows.mapInArrow(_count(bits), "lang string, part int, docs long, counts binary")
-    found = parts.groupBy("lang", "part").applyInArrow(_add(bits), "lang string, part int, docs long, counts binary").limit(MAX_LANGUAGES * SLICES + 1).collect()
-    if len(found) > MAX_LANGUAGES * SLICES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = parts.groupBy("lang", "part").applyInArrow(_add(bits), "lang string, part int, docs long, counts binary").collect()
     langs = sorted({r["lang"] for r in found})
     at = {x: i for i, x in enumerate(langs)}
     counts, docs_of = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
@@ -147,23 +170,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in kernels.slices(batch):
-                pred, score = sent.value.predict(part.column("text").to_pylist())
+                pred, score, _ = sent.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """Rows of docs, all columns, whose text has a learned language with at least this score; one pass, no shuffle."""
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, languages: Collection[str] | None = None) -> DataFrame:
+    """Rows of docs, all columns, whose text is in a learned language (one of ``languages``, if given); one pass, no shuffle.
+
+    The language's posterior is ``min_score`` or more, and the text is likelier in it than if all n-grams were equally
+    likely: the posterior of a long text says which language is closest, even if none is close.  A text that is null or
+    has no letter has no language and is rejected.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    least = -float(np.log(model.logp.shape[1])) if model.langs else 0.0
+    wanted = frozenset(model.langs if languages is None else languages) - {"und"}
 
     def run(batches):
         for batch in batches:
             for part in kernels.slices(batch):
-                pred, score = sent.value.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([p != "und" and s >= min_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+                found = zip(*sent.value.predict(part.column("text").to_pylist()), strict=True)
+                yield part.filter(pa.array([p in wanted and s >= min_score and m > least for p, s, m in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
