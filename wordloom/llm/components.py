@@ -34,7 +34,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = common.materialize(now, "edges")
     before = None
     for _ in range(max_rounds):
-        now = common.materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, common.materialize(_small_star(_large_star(now)), "edges")
+        common.discard(last)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

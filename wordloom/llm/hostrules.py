@@ -3,10 +3,14 @@
 Each document gets base counts and a base verdict; failures are added up by host (``source``), each host's rate is
 shrunk towards an empirical beta prior, and the hosts' verdicts are joined back to the documents.
 
-The prior comes from all hosts' rates by moments: mean m, variance v, strength m (1 - m) / v - 1 held within
-[1, 10000].  A host fails if (failures + m * strength) / (documents + strength) exceeds ``max_host_rate``.
-Documents without a host (null) share one.  Null texts have no words and fail the base rules.  Rows with a null
-doc_id keep that null.  The counts are written once to the shared folder and read for both uses.
+The prior comes from all hosts' rates by moments: mean m, and variance v less what counting alone gives,
+m (1 - m) times the mean of 1 / documents; its strength m (1 - m) / v - 1 is held within [1, 10000], and is 10000 where
+nothing is left of v.  A host fails if (failures + m * strength) / (documents + strength) exceeds ``max_host_rate``;
+then none of its documents is kept.  Documents without a host (null) share one.  Null texts have no words and fail the
+base rules.  Rows with a null doc_id keep that null; rows that repeat are counted, and judged, each.
+
+The counts are written once to the shared folder and read for both uses.  Hosts' rates are broadcast up to
+BROADCAST_HOSTS of them (counted first); beyond that the join is dealt over SALTS tasks for each host.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE = 10, 20, 0.5
+BROADCAST_HOSTS, SALTS = 200_000, 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -90,13 +95,20 @@ def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST
     base = rows.mapInArrow(_base, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     base = common.materialize(base.withColumn("base_failed", failed), "base")
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
-    prior = hosts.agg(F.avg(F.col("f") / F.col("n")).alias("m"), F.var_pop(F.col("f") / F.col("n")).alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
+    hosts = common.materialize(base.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
+    rate = F.col("f") / F.col("n")
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(F.lit(1.0) / F.col("n")).alias("k"), F.count(F.lit(1)).alias("hosts")).first()
+    m = prior["m"] or 0.0
+    v = (prior["v"] or 0.0) - m * (1 - m) * (prior["k"] or 0.0)
     strength = min(max(m * (1 - m) / v - 1, 1.0), 10_000.0) if v > 0 else 10_000.0
     rates = hosts.select(F.col("host").alias("_host"), ((F.col("f") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))).alias("host_rate"))
-    out = base.join(rates, base["host"].eqNullSafe(rates["_host"]), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    same = base["host"].eqNullSafe(rates["_host"])
+    if prior["hosts"] <= BROADCAST_HOSTS:
+        out = base.join(F.broadcast(rates), same, "left")
+    else:
+        rates = rates.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = base.withColumn("_salt", F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int")).join(rates, base["host"].eqNullSafe(rates["_host"]) & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy")
+    return out.drop("_host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
 
 
 def op6_host_quality_rules(docs: DataFrame) -> DataFrame:
@@ -113,7 +125,8 @@ b AS (SELECT r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM f GROUP BY source),
-p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
+o AS (SELECT avg(f / n) AS m, var_pop(f / n) AS u, avg(1.0 / n::DOUBLE) AS k FROM h),
+p AS (SELECT m, u - m * (1 - m) * k AS v FROM o),
 q AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS k FROM p),
 v AS (SELECT source, (f + m * k) / (n + k) <= 0.5 AS good FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
