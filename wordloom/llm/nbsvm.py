@@ -1,27 +1,29 @@
 """Quality classifier: naive Bayes support vectors.
 
-Words become shape tokens (case, length class, mark at the end, whether the word repeats the one before it, whether it
-starts a line); indicators of their 1- to 3-grams are scaled by class log-count ratios, and a linear hinge-loss model is
-fitted by dual coordinate descent on the scaled, length-normalised vectors.  A logistic fit turns margins to scores.
-
-The model is fitted on at most ``max_rows`` labelled rows (those with the smallest hash of doc_id), the one bound here;
-scoring covers every row and whole texts.  Labels that are null or whose document is missing teach nothing; a
-doc_id with several labels has the largest.  With labels of one class or none, every score is that class's share.
-Null and empty texts have no features and are scored by the intercept.
+Features are hashed indicators of 1- to 3-grams of the lower-cased words, and of 1- to 3-grams of the words' shapes (case,
+length class, mark at the end, whether the word repeats the one before it, whether it starts a line).  They are scaled
+by class log-count ratios, and a linear hinge-loss model is fitted by dual coordinate descent on the scaled,
+length-normalised vectors.  A logistic fit turns margins to scores.
+
+The model is fitted on a bounded sample of labelled documents, in order of a hash of doc_id: ``max_rows`` at most and
+``max_bytes`` of their features at most.  Scoring covers every row and whole texts.  Labels that are null or whose
+document is missing teach nothing; a doc_id with several labels has the largest, and one with several rows
+teaches once, by its greatest text.  With labels of one class or none, every score is that class's share.  Null and empty
+texts have no features and are scored by the intercept; texts with equal features have equal scores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
 from .kernels import U64
 
-BITS = 17
-MAX_ROWS = 20_000
+BITS = 18
+MAX_ROWS, MAX_BYTES = 20_000, 128 << 20
 EPOCHS, COST, ALPHA = 8, 1.0, 1.0
 
 
@@ -55,14 +57,13 @@ def features(text, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     n_docs, n = len(off) - 1, len(code)
     doc = np.repeat(np.arange(n_docs), np.diff(off))
     keys = []
-    h = np.zeros(n, U64)
-    for k in range(3):
-        if n <= k:
-            break
-        h = h[: n - k] * U64(0x100000001B3) + code[k:]
-        inside = np.arange(n - k) + k < off[1:][doc[: n - k]]
-        x = kernels.mix(h, 20 + k) >> U64(64 - bits)
-        keys.append(((doc[: n - k].astype(U64) << U64(bits)) | x)[inside])
+    for kind, tokens in enumerate((code, kernels.Words(text, lower=True).hash)):
+        h = np.zeros(n, U64)
+        for k in range(min(3, n)):
+            h = h[: n - k] * U64(0x100000001B3) + tokens[k:]
+            inside = np.arange(n - k) + k < off[1:][doc[: n - k]]
+            x = kernels.mix(h, 20 + k + 10 * kind) >> U64(64 - bits)
+            keys.append(((doc[: n - k].astype(U64) << U64(bits)) | x)[inside])
     flat = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
     owner = (flat >> U64(bits)).astype(np.int64)
     return (flat & U64((1 << bits) - 1)).astype(np.int32), np.searchsorted(owner, np.arange(n_docs + 1))
@@ -146,15 +147,19 @@ def _featurise(batches):
     for batch in batches:
         for part in kernels.slices(batch):
             ids, off = features(part.column("text"))
-            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """labels: doc_id, label (0 or 1)."""
     common.small_batches(docs.sparkSession)
-    chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = rows.select("label", "text").mapInArrow(_featurise, "label int, ids binary").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label")).orderBy(*order).limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    seen = common.materialize(rows.select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, ids binary"), "features")
+    sizes = seen.select("doc_id", F.sum(F.octet_length("ids")).over(Window.orderBy(*order)).alias("_bytes"))  # max_rows rows
+    got = seen.join(F.broadcast(sizes.where(F.col("_bytes") <= max_bytes)), "doc_id").select("ids", "label").collect()
+    common.discard(seen)
     got.sort(key=lambda r: (r["ids"], r["label"]))
     return train([np.frombuffer(r["ids"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64))
 
