@@ -1,108 +1,144 @@
 """Line dedup by a log-template tree.
 
-A line is parsed down a tree of fixed depth: its number of tokens, then its LEAD leading tokens, with tokens that
-hold a digit generalised to ``<*>``.  In a leaf, lines are one template if their other tokens agree, or, from MIN_SPLIT
-tokens on, if they agree but for one third of them (a variable field); so each line has one full signature and up to
-three with a generalised third, and a template is a signature that recurs.
+A line is parsed down a tree of fixed depth: its number of tokens, then its leading tokens, with tokens that hold a digit
+generalised to ``<*>``.  In a leaf, lines are one template if their tokens agree but for one variable field:
 
-A template recurs if at least ``min_docs`` documents hold it, copies counted once, whatever stands around it and
-however many documents there are.  Candidates are templates of that many distinct texts; only documents that hold one
-are then grouped by the near-duplicate operator (similarity 0.8 of their 5-word shingles), and a group counts as one
-document, so that a text with many near copies keeps its own lines.  All lines of a recurring template are dropped.
+* 1 or 2 tokens: nothing but digits varies;
+* 3 tokens: the last may vary; 4 or 5 tokens: any one may;
+* 6 tokens or more: one third of those after the LEAD leading tokens may vary, or one of the leading tokens; from
+  WIDE tokens on also two of the thirds.
+
+So each line has one full signature and some with a field generalised, and a template is a signature that recurs.
 
-Null and empty texts have no lines to drop and come back as they are.  Blank lines are kept and are no template.
-Rows with a null doc_id keep their text.  Repeated rows of one doc_id count as one document and each lose the lines that any of
-them would.  Counting is by signature and text first, so one very common line is spread over many groups.
+A template recurs if at least ``min_docs`` documents hold it, copies counted once, whatever stands around it and
+however many documents there are; one with a field whose fixed tokens are fewer than FIXED takes FEW_FIXED times as many.
+Candidates are templates of that many distinct texts; only documents that hold one are then grouped by the
+near-duplicate operator (similarity 0.8 of their 5-word shingles), and a group counts as one document, so that a text
+with many near copies keeps its own lines.  All lines of a recurring template are dropped.
+
+Null and empty texts have no lines to drop and come back as they are.  Blank lines are kept and are no template.  Lines end
+at ``\\n``; tokens are the words of the other operators.  Rows with a null doc_id keep their text.  Repeated rows of one
+doc_id count as one document and each lose the lines that any of them would.  A column of docs named n_lines or n_dropped is
+replaced by this operator's; other columns stay.  Counting is by signature and text first, so one very common line is
+spread over many groups; recurring signatures are broadcast up to BROADCAST of them (counted first), and beyond that
+joined with each signature dealt over SALTS tasks.
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, kernels, neardup
+from .kernels import U64
 
-LEAD = 3
-MIN_SPLIT = 6
+LEAD, WIDE = 3, 9
 MIN_DOCS = 5
-_DIGIT = re.compile("[0-9]")
-
-
-def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def masked(line: str) -> list[str]:
-    """The tokens of a line, those with a digit generalised; linear in the line, however long a token is."""
-    tokens = line.split()
-    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
-
-
-def signatures(line: str) -> list[int]:
-    """Of a line's template and, if it is long enough, of those with one third of the other tokens generalised."""
-    tokens = masked(line)
-    out = [_hash(" ".join(tokens))]
-    n = len(tokens)
-    if n >= MIN_SPLIT:
-        head, rest = f"{n} {' '.join(tokens[:LEAD])}", tokens[LEAD:]
-        third = -(-len(rest) // 3)
+FIXED, FEW_FIXED = 5, 4
+BROADCAST, SALTS = 500_000, 16
+_PLACE = U64(0x9E3779B97F4A7C15)
+
+
+class Lines:
+    """Lines with a word of a batch of texts: the document and number of each, its words, and their masked hashes."""
+
+    def __init__(self, text):
+        words = kernels.Words(text)
+        buf, start, end = words.buf, words.start, words.end
+        digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
+        breaks = np.concatenate([[0], np.cumsum(buf == 10)])
+        doc = words.doc()
+        line = breaks[start] - breaks[words.text_off[doc]]
+        self.first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))) if len(start) else np.zeros(0, np.int64)
+        self.doc, self.line = doc[self.first], line[self.first]
+        self.size = np.diff(np.append(self.first, len(start)))
+        place = (np.arange(len(start)) - np.repeat(self.first, self.size)).astype(U64)
+        token = np.where(digits[end] > digits[start], U64(1), words.hash)
+        # Hashes of tokens in their places: sums of them stand for what agrees, whatever its order of addition.
+        self.sums = np.append(U64(0), np.cumsum(kernels.mix(token + (place + U64(1)) * _PLACE, 31), dtype=U64))
+        self.copy = words.range_hash(words.text_off[:-1], words.text_off[1:])
+
+    def signatures(self):
+        """(lines, signatures, whether few tokens are fixed) for each kind of field."""
+        n, at = self.size, self.first
+        whole = self.sums[at + n] - self.sums[at]
+        third = -(-(n - LEAD) // 3)
+        cut = [np.minimum(at + LEAD + k * third, at + n) for k in range(4)]
+
+        def without(some, kind, *fields):
+            left, gone = whole[some], np.zeros(int(some.sum()), np.int64)
+            for a, b in fields:
+                left = left - (self.sums[b[some]] - self.sums[a[some]])
+                gone += b[some] - a[some]
+            real = np.flatnonzero(gone > 0) if fields else np.arange(len(left))
+            key = kernels.mix(left + n[some].astype(U64) * _PLACE, 32 + kind)
+            return np.flatnonzero(some)[real], key[real], (n[some] - gone < FIXED)[real] & bool(fields)
+
+        yield without(n > 0, 0)
+        yield without(n == 3, 1, (at + 2, at + 3))
+        for k in range(5):
+            yield without((n >= 4) & (n <= 5) & (n > k), 2 + k, (at + np.minimum(k, n), at + np.minimum(k + 1, n)))
         for k in range(3):
-            a, b = k * third, min((k + 1) * third, len(rest))
-            if a < b:
-                out.append(_hash(f"{head} {' '.join(rest[:a])} <{k}> {' '.join(rest[b:])}"))
-    return out
-
-
-def document_templates(text: str) -> dict[int, list[int]]:
-    """signature -> its line numbers."""
-    found: dict[int, list[int]] = {}
-    for i, line in enumerate(text.split("\n")):
-        if line and not line.isspace():
-            for s in signatures(line):
-                found.setdefault(s, []).append(i)
-    return found
+            yield without(n >= 6, 7 + k, (cut[k], cut[k + 1]))
+            yield without(n >= 6, 10 + k, (at + np.minimum(k, n), at + np.minimum(k + 1, n)))
+            yield without(n >= WIDE, 13 + k, *[(cut[j], cut[j + 1]) for j in range(3) if j != k])
 
 
 def _parse(batches):
     for batch in batches:
         for part in kernels.slices(batch):
-            sig, doc, copy, lines = [], [], [], []
-            for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = document_templates(text)
-                sig.extend(found)
-                doc.extend([d] * len(found))
-                copy.extend([_hash(text)] * len(found))
-                lines.extend(found.values())
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "copy": pa.array(copy, pa.int64()), "lines": pa.array(lines, pa.list_(pa.int32()))})
+            lines = Lines(part.column("text"))
+            found = list(lines.signatures())
+            row, sig, few = (np.concatenate(x) for x in zip(*found, strict=True))
+            doc = lines.doc[row]
+            yield pa.RecordBatch.from_pydict({
+                "sig": pa.array(sig.view(np.int64)), "few": pa.array(few),
+                "doc_id": pa.array(np.asarray(part.column("doc_id"))[doc]), "copy": pa.array(lines.copy[doc].view(np.int64)),
+                "line": pa.array(lines.line[row].astype(np.int32)),
+            })
 
 
 def _in_documents(found: DataFrame, column: str, min_docs: int) -> DataFrame:
-    """Signatures with at least min_docs distinct values of column."""
-    return found.select("sig", column).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("sig")
+    """Signatures with enough distinct values of column."""
+    counted = found.select("sig", "few", column).distinct().groupBy("sig", "few").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= F.when(F.col("few"), FEW_FIXED * min_docs).otherwise(min_docs)).select("sig")
+
+
+def _holding(found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows of found with one of these signatures."""
+    sigs = common.materialize(sigs, "recurring")
+    if sigs.count() <= BROADCAST:
+        return found.join(F.broadcast(sigs), "sig", "left_semi")
+    sigs = sigs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(sigs, ["sig", "_salt"], "left_semi").drop("_salt")
 
 
 def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """sig, doc_id, lines of the templates that recur."""
-    parsed = common.materialize(rows.mapInArrow(_parse, "sig long, doc_id long, copy long, lines array<int>"), "templates")
-    held = common.materialize(parsed.select("sig", "doc_id", "lines").join(_in_documents(parsed, "copy", min_docs), "sig", "left_semi"), "held")
+    """doc_id, line of the templates that recur; rows (doc_id, text) have no null."""
+    parsed = common.materialize(rows.mapInArrow(_parse, "sig long, few boolean, doc_id long, copy long, line int"), "templates")
+    held = common.materialize(_holding(parsed.select("sig", "few", "doc_id", "line"), _in_documents(parsed, "copy", min_docs)), "held")
+    common.discard(parsed)
     holders = rows.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
     groups = neardup.near_duplicates(holders, **neardup.STAGE).groupBy("doc_id").agg(F.min("component_id").alias("component"))
-    return held.join(_in_documents(held.join(groups, "doc_id"), "component", min_docs), "sig", "left_semi")
+    return _holding(held, _in_documents(held.join(groups, "doc_id"), "component", min_docs)).select("doc_id", "line")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of docs, with ``text`` less its recurring lines, and n_lines and n_dropped."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    drop = recurring_lines(rows, min_docs).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_drop")).withColumnRenamed("doc_id", "_doc")
-    out = docs.join(drop, F.col("doc_id") == F.col("_doc"), "left")
+    drop = recurring_lines(rows, min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("drop")).select(F.struct("doc_id", "drop").alias(_OWN))
+    out = docs.join(drop, docs["doc_id"] == drop[_OWN]["doc_id"], "left")
+    gone = drop[_OWN]["drop"]
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)}).drop("_drop", "_doc")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "text": F.when(gone.isNull(), F.col("text")).otherwise(kept)}).drop(_OWN)
+
+
+#: The one column of this operator's own beside those of docs.
+_OWN = "_wordloom_recurring_lines"
 
 
 def op4_line_templates(docs: DataFrame) -> DataFrame:
