@@ -3,16 +3,20 @@
 A document's set holds the distinct 5-word shingles of its lower-cased text (a shorter text is one shingle).  Equal
 sets form a class at once, by a 128-bit sum over the set, and only a class's smallest document goes on: a
 group of exact copies costs one signature.  Classes meet in the buckets of ``bands`` bands of ``rows`` minima (at
-similarity 0.85, 24 x 4 miss a pair with probability 2e-8).  Within a bucket no all-pairs list is made: first each
-bucket's centre (the member that shares most buckets) is compared with its members; a pair whose signatures
-agree in too few places (under ``floor``; 0.85 less five standard deviations) is dropped, others are confirmed on
-full sets.  Linked documents then form components.  Members of one bucket that are still in different components
-are compared by signature in blocks of bounded size; the members with a partner then meet again with their texts,
-one row for each member and block, and are checked exactly there.  So no link between components is lost, and
-no group's pairs are written out.
-
-Nulls: a null doc_id is dropped; a null or blank text has an empty set and is linked with nothing.  Repeated rows
-of one doc_id: the result has one row of that id for each.  Extra columns are ignored.
+similarity 0.85, 24 x 4 miss a pair with probability 2e-8).  Within a bucket first its centre
+(the member that shares most buckets) is compared with its members; a pair whose signatures agree in too few places
+(under ``floor``; 0.85 less five standard deviations) is dropped, others are confirmed on full sets.  Linked documents
+then form components, and only members of one bucket that are still in different components are compared again, by
+signature, in blocks of bounded size; those with a partner meet with their texts, one row for each member and block,
+and are checked exactly there.  So no link between components is lost, and a group of which a centre is a copy costs as
+many pairs as it has members; members that stay apart cost all pairs of signatures, and a list of those that agree.
+
+Exact checks read texts in blocks of BLOCK members, sorted by block and streamed, so a text is hashed once for a block.
+
+Nulls: a null doc_id is dropped; a null or blank text has an empty set and is linked with nothing.  Ties: among members
+that share equally many buckets the smallest doc_id is the centre.  Rows that repeat a doc_id: the result has one row of
+that id for each; if their texts differ, sets of one doc_id are one node, whose links are those of its largest set among
+those it is the smallest holder of.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,6 +79,7 @@ def _signatures(n_hashes: int, bands: int, rows: int):
                 blobs = lambda x: pa.array([v.tobytes() if s else None for v, s in zip(x, sizes, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
+                    "row": part.column("row"),
                     "n_shingles": pa.array(sizes.astype(np.int64)),
                     "f1": pa.array(f1.view(np.int64)),
                     "f2": pa.array(f2.view(np.int64)),
@@ -112,7 +117,7 @@ def _agreeing(n_hashes: int, least: float):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, n_hashes) for c in ("sig_a", "sig_b"))
             good = (a == b).mean(1) >= least
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b")})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b", "c")})
 
     return run
 
@@ -146,76 +151,97 @@ def _block_pairs(n_hashes: int, least: float):
     return run
 
 
-def _confirm_block(num: int, den: int):
-    """Exact checks of the members of a block with their partners, over one numbering of the block's shingles."""
+def _check(table, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Exact checks of members with their partners, over one numbering of the shingles of the rows given."""
+    ids = table.column("doc_id").to_pylist()
+    h, off = shingle_sets(table.column("text"))
+    vocabulary, number = np.unique(h, return_inverse=True)
+    sets = {d: number[a:b] for d, a, b in zip(ids, off[:-1], off[1:], strict=True)}
+    flag, out_a, out_b = np.zeros(len(vocabulary), bool), [], []
+    for d, partners in zip(ids, table.column("partners").to_pylist(), strict=True):
+        if not partners:
+            continue
+        own = sets[d]
+        flag[own] = True
+        for p in partners:
+            both = int(np.count_nonzero(flag[sets[p]]))
+            if both and den * both >= num * (len(own) + len(sets[p]) - both):
+                out_a.append(min(d, p))
+                out_b.append(max(d, p))
+        flag[own] = False
+    return out_a, out_b
 
-    def run(key, table):
-        ids = table.column("doc_id").to_pylist()
-        h, off = shingle_sets(table.column("text"))
-        vocabulary, number = np.unique(h, return_inverse=True)
-        sets = {d: number[a:b] for d, a, b in zip(ids, off[:-1], off[1:], strict=True)}
-        flag, out_a, out_b = np.zeros(len(vocabulary), bool), [], []
-        for d, partners in zip(ids, table.column("partners").to_pylist(), strict=True):
-            own = sets[d]
-            flag[own] = True
-            for p in partners:
-                both = int(np.count_nonzero(flag[sets[p]]))
-                if both and den * both >= num * (len(own) + len(sets[p]) - both):
-                    out_a.append(min(d, p))
-                    out_b.append(max(d, p))
-            flag[own] = False
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return run
+def _confirm(num: int, den: int):
+    """Checks rows sorted by block, as many whole blocks at a time as have come."""
 
+    def checked(batches):
+        a, b = _check(pa.Table.from_batches(batches), num, den)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _confirm(num: int, den: int):
     def run(batches):
+        held, last = [], None  # the rows so far of the block that may go on
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                h, off = shingle_sets(pa.array([batch.column("text_a")[i].as_py(), batch.column("text_b")[i].as_py()], pa.string()))
-                a, b = h[off[0] : off[1]], h[off[1] : off[2]]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(bool(both) and den * both >= num * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
+            block = np.asarray(batch.column("block"))
+            if not len(block):
+                continue
+            begins = int(np.searchsorted(block, block[-1]))
+            if begins or (held and last != block[-1]):
+                yield checked([*held, batch.slice(0, begins)])
+                held = []
+            held.append(batch.slice(begins))
+            last = block[-1]
+        if held:
+            yield checked(held)
 
     return run
 
 
-def _links(near: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that pass the exact check."""
-    near = common.materialize(near, "pairs")
-    both = near.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return common.materialize(both.mapInArrow(_confirm(num, den), "a long, b long"), "links")
+def _links(members: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that pass the exact check.  members: block, doc_id, partners, each partner being in the same block too."""
+    both = members.join(texts, "doc_id").select("block", "doc_id", "partners", "text")
+    dealt = both.repartition("block").sortWithinPartitions("block")
+    return common.materialize(dealt.mapInArrow(_confirm(num, den), "a long, b long"), "links")
 
 
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted documents' texts, fetched once.  The ids grow with the input, so this is a merge join at every size."""
-    found = texts.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    found = texts.join(wanted.select("doc_id", "row").hint("merge"), ["doc_id", "row"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     return common.materialize(found, "texts")
 
 
+def _around(near: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) and the one of them that is a centre, as blocks of a centre and some of its members."""
+    blocks = near.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    other = F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a"))
+    dealt = near.join(blocks, "c").select(F.xxhash64("c", F.pmod(F.xxhash64(other), F.col("blocks"))).alias("block"), other.alias("doc_id"), "c")
+    centres = dealt.select("block", F.col("c").alias("doc_id"), F.array().cast("array<bigint>").alias("partners")).distinct()
+    return dealt.select("block", "doc_id", F.array("c").alias("partners")).unionByName(centres)
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS, n_hashes: int = HASHES, floor: float = 0.74, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that similarity links of num / den or more reach."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
-    sigs = common.materialize(texts.mapInArrow(_signatures(n_hashes, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, keys binary"), "signatures")
-    full = sigs.where("n_shingles > 0")
-    classes = common.materialize(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "keys").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
+    sigs = common.materialize(texts.mapInArrow(_signatures(n_hashes, bands, rows), "doc_id long, row long, n_shingles long, f1 long, f2 long, sig binary, keys binary"), "signatures")
+    full, same = sigs.where("n_shingles > 0"), ["n_shingles", "f1", "f2"]
+    classes = common.materialize(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.max_by(F.struct("sig", "keys", "row"), F.struct(*same, "row")).alias("r")).select("doc_id", "r.*")
     keys = reps.select("doc_id", "keys").mapInArrow(_explode_keys(bands), "key long, band int, doc_id long")
     keys = common.materialize(_shared(keys), "bands")
     # A document of a band key that repeats is rare: only those signatures are kept at hand.
     reps = common.materialize(reps.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     texts = _texts(texts, reps)
+    reps = reps.drop("row")
     weight = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
     centre = keys.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", (-F.col("doc_id")).alias("o"))).alias("c"))
-    pairs = keys.join(centre, "key").where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    pairs = keys.join(centre, "key").where("doc_id <> c").groupBy(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).agg(F.max("c").alias("c"))
     s = reps.select("doc_id", "sig")
-    near = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b").mapInArrow(_agreeing(n_hashes, floor), "a long, b long")
-    edges, comp = _grow(None, _links(near, texts, num, den))
+    near = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b").mapInArrow(_agreeing(n_hashes, floor), "a long, b long, c long")
+    near = common.materialize(near, "pairs")
+    edges, comp = _grow(None, _links(_around(near, block), texts, num, den))
 
     members = common.materialize(_open_members(keys, comp), "open")
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
@@ -226,10 +252,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
         .join(reps, "doc_id")
     )
     near = common.materialize(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(n_hashes, floor), "key long, i int, j int, doc_id long, partners array<long>"), "partners")
-    checked = near.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(_confirm_block(num, den), "a long, b long")
-    edges, comp = _grow(edges, common.materialize(checked, "links"))
+    apart = near.select(F.xxhash64("key", "i", "j").alias("block"), "doc_id", "partners")
+    _, comp = _grow(edges, _links(apart, texts, num, den))
     merged = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(merged, ["n_shingles", "f1", "f2"], "left")
+    out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(merged, same, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
