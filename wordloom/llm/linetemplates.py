@@ -18,8 +18,8 @@ with many near copies keeps its own lines.  All lines of a recurring template ar
 
 Null and empty texts have no lines to drop and come back as they are.  Blank lines are kept and are no template.  Lines end
 at ``\\n``; tokens are the words of the other operators.  Rows with a null doc_id keep their text.  Repeated rows of one
-doc_id count as one document and each lose the lines that any of them would.  A column of docs named n_lines or n_dropped is
-replaced by this operator's; other columns stay.  Counting is by signature and text first, so one very common line is
+doc_id count as one document and each lose the lines that any of them would.  A column of docs named as one of
+the two counts is replaced by it (the names are parameters); other columns stay.  Counting is by signature and text first, so one very common line is
 spread over many groups; recurring signatures are broadcast up to BROADCAST of them (counted first), and beyond that
 joined with each signature dealt over SALTS tasks.
 """
@@ -125,8 +125,8 @@ def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return _holding(held, _in_documents(held.join(groups, "doc_id"), "component", min_docs)).select("doc_id", "line")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows and columns of docs, with ``text`` less its recurring lines, and n_lines and n_dropped."""
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All rows and columns of docs, with ``text`` less its recurring lines, and numbers of lines and of dropped ones."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     drop = recurring_lines(rows, min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("drop")).select(F.struct("doc_id", "drop").alias(_OWN))
@@ -134,7 +134,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     gone = drop[_OWN]["drop"]
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "text": F.when(gone.isNull(), F.col("text")).otherwise(kept)}).drop(_OWN)
+    return out.withColumns({counts[0]: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long"), "text": F.when(gone.isNull(), F.col("text")).otherwise(kept)}).drop(_OWN)
 
 
 #: The one column of this operator's own beside those of docs.
