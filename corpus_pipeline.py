@@ -17,32 +17,33 @@ PACKING_CACHE_WORDS = 400_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that the labelled ones teach."""
+    """Documents whose text is in a language that the labelled ones teach; texts that are null or have no letter go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of recurring templates; n_chars follows."""
-    out = linetemplates.drop_recurring_lines(docs)
+    """Texts without lines of recurring templates; n_chars follows.  No row goes."""
+    lines, dropped = "_pipeline_lines", "_pipeline_dropped"
+    out = linetemplates.drop_recurring_lines(docs, counts=(lines, dropped))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.  Null ids and empty texts stay."""
     return neardup.drop_near_duplicates(docs, **neardup.STAGE).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  Null ids and texts stay."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs, cache_words=PACKING_CACHE_WORDS)
+    """Pieces of documents in sequences of 4096 tokens, with their token ids: what training reads.  Null ids go."""
+    return packing.pack(docs, with_ids=True, cache_words=PACKING_CACHE_WORDS)
 
 
 STAGES = [
@@ -53,7 +54,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned models and a space-filling curve have no SQL form; tests hold the stages against brute force.
+#: Learned models and a space-filling curve have no SQL form; tests/llm/test_plain.py holds each stage, and all of them in
+#: turn, against plain versions.
 ORACLE_SQL = None
 
 
