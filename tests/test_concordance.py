@@ -1,38 +1,11 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from wordloom.functions import meta, text
-from wordloom.operators import concordance, layout, maintenance, segmenting
+from wordloom.operators import concordance, layout, maintenance
 from wordloom.sources import archive
 from wordloom.streaming import watch
 
 
-def lines(texts):
-    return pd.DataFrame({"doc_id": 1, "line_no": range(len(texts)), "page": 1, "text": texts})
-
-
-def test_numeric_bodies_and_decimals():
-    got = segmenting.segment_document(lines([f"{i}. 다음 글" for i in range(1, 28)] + ["28. 2024 Green Future", "농도가 1.5 배가 되고", "3. 15. 에 일어난", "29. 다음"]))
-    assert got.number.dropna().tolist() == list(range(1, 30))
-
-
-def test_elective_parts_restart():
-    body = [f"{i}. 문항" for i in range(1, 23)]
-    for name in ("확률과 통계", "미적분", "기하"):
-        body += [f"({name})"] + [f"{i}. 문항" for i in range(23, 31)]
-    q = segmenting.segment_document(lines(body)).query("kind == 'question'")
-    assert len(q) == 46 and q.part.value_counts().to_dict() == {"확률과 통계": 8, "미적분": 8, "기하": 8}
-
-
-def test_part_named_after_its_first_question():
-    body = [f"{i}. 문항" for i in range(1, 35)] + ["국어 영역 문제지", "[35～37] 다음 글", "35. 문항", "(화법과 작문)"]
-    body += [f"{i}. 문항" for i in range(36, 46)] + ["국어 영역 문제지", "35. 문항", "(언어와 매체)"] + [f"{i}. 문항" for i in range(36, 46)]
-    got = segmenting.segment_document(lines(body))
-    q = got.query("kind == 'question'")
-    assert len(q) == 56 and q.part.isna().sum() == 34 and q.part.value_counts().to_dict() == {"화법과 작문": 11, "언어와 매체": 11}
-    assert got.query("kind == 'passage'").part.tolist() == ["화법과 작문"]
-
-
 def test_spans_keys_and_hostile_queries(spark):
     d = spark.createDataFrame([("상호 작용은 상리 공생",), ("a – b a-b a—\nb a￼-b",), (None,), ("",), ("haha(?x",)], "t string")
     got = d.select(text.spans("t", "상리공생").alias("s"), text.surface_forms("t", "a-b").alias("f"), F.size(text.surface_forms("t", "(?")).alias("n")).collect()

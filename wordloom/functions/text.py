@@ -1,8 +1,9 @@
 """Text normalisation as columns: search keys, surface patterns, cleaning, snippets.
 
-The key of a text drops spaces, newlines and object marks and folds dashes, quotes and tildes; one ``translate``
-computes it inside the scan.  A wording is found by ``contains`` on the key; how it was really written is found by a
-look-ahead pattern on the text, which also counts overlapping occurrences.
+The key of a text drops spaces, newlines and object marks and folds dashes, quotes and tildes.  That a key holds a wording is
+asked of the text itself, by a pattern that lets just those characters stand between the wording's and each be spelt as it
+folds: one scan, without a key of every text being made or stored.  How a wording was really written is found by a
+look-ahead pattern, which also counts overlapping occurrences.
 """
 
 from __future__ import annotations
@@ -35,12 +36,22 @@ def query_key(query: str) -> str:
     return "".join(FOLDS.get(c, c) for c in composed if not c.isspace() and c != OBJECT)
 
 
-def surface_pattern(query: str) -> str:
-    """A look-ahead whose group is the wording as written, whatever blanks stand between its characters."""
-    wanted = query_key(query)
+def _spelt(query: str, between: str) -> str:
+    """A pattern of the wording: each character in any of its spellings, with any of ``between`` in between."""
     spellings = {c: "".join(k for k, v in FOLDS.items() if v == c) for c in set(FOLDS.values())}
     one = lambda c: f"[{re.escape(c)}{spellings[c]}]" if c in spellings else re.escape(c)
-    return f"(?=({f'[{BLANK}{OBJECT}]*'.join(map(one, wanted))}))"
+    return f"[{between}]*".join(map(one, query_key(query)))
+
+
+def held(text: Column | str, query: str) -> Column:
+    """Whether the text's key holds the query's; an empty query is held by none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return text.rlike(_spelt(query, DROPPED)) if query_key(query) else F.lit(False)
+
+
+def surface_pattern(query: str) -> str:
+    """A look-ahead whose group is the wording as written, whatever blanks stand between its characters."""
+    return f"(?=({_spelt(query, BLANK + OBJECT)}))"
 
 
 def surface_forms(text: Column | str, query: str) -> Column:
@@ -95,14 +106,18 @@ def spans(text: Column | str, query: str) -> Column:
 
 def snippet(text: Column, query: str, width: int = 60, mark: tuple[str, str] = ("《", "》"), plain: int | None = None) -> Column:
     """The first occurrence with ``width`` characters around it; without one, the text's beginning."""
-    hit = F.regexp_extract(text, surface_pattern(query), 1)
-    # length() counts code points, so cut around the hit by what stands before it.
-    before = F.regexp_extract(text, "(?s)^(.*?)" + surface_pattern(query), 1)
-    a, b, n = F.length(before), F.length(before) + F.length(hit), F.length(text)
-    lo, hi = F.greatest(a - width, F.lit(0)), F.least(b + width, n)
-    body = F.concat(F.when(lo > 0, "…").otherwise(""), F.substr(text, lo + 1, a - lo), F.lit(mark[0]), hit, F.lit(mark[1]), F.substr(text, b + 1, hi - b), F.when(hi < n, "…").otherwise(""))
-    shown = F.when(hit == "", F.substring(text, 1, plain or 2 * width)).otherwise(body)
-    return F.replace(readable(shown), F.lit("\n"), F.lit(" "))
+    # What stands before and after the first occurrence; lengths count code points, as positions in the JVM would not.
+    wanted = _spelt(query, BLANK + OBJECT)
+    ends = F.split(text, wanted, 2) if wanted else F.array(text)
+
+    def shown(parts: Column) -> Column:
+        before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        hit = F.substr(text, F.length(before) + 1, F.length(text) - F.length(before) - F.length(after))
+        cut = lambda side, rest: F.when(F.length(rest) > width, side).otherwise("")
+        around = F.concat(cut("…", before), F.right(before, F.lit(width)), F.lit(mark[0]), hit, F.lit(mark[1]), F.left(after, F.lit(width)), cut("…", after))
+        return F.when(F.size(parts) == 2, around).otherwise(F.substring(text, 1, plain or 2 * width))
+
+    return F.replace(readable(F.get(F.transform(F.array(ends), shown), F.lit(0))), F.lit("\n"), F.lit(" "))
 
 
 def highlight(text: Column, query: str, width: int = 90, plain: int = 200) -> Column:

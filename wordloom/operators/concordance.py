@@ -31,15 +31,16 @@ def predicates(subject: str | None = None, year: int | None = None, exam: str |
     return reduce(Column.__and__, found)
 
 
-def matches(segments: DataFrame, exams: DataFrame, query: str, **filters) -> DataFrame:
-    """Segments that hold the wording, with ``surface``, the array of its occurrences as written."""
-    wanted = text.query_key(query)
-    held = segments.where(text.key("text").contains(F.lit(wanted)) if wanted else F.lit(False))
+def hits(segments: DataFrame, exams: DataFrame, query: str, **filters) -> DataFrame:
+    """Segments that hold the wording, with their papers and a source label."""
     label = meta.segment_label(F.col("kind"), F.col("part"), F.col("number"), F.col("number_end"))
-    return corpus(held, exams).where(predicates(**filters)).withColumns({
-        "surface": text.surface_forms("text", query),
-        "source": meta.source_label(F.col("year"), F.col("exam"), F.col("grade"), F.col("subject"), label),
-    })
+    source = meta.source_label(F.col("year"), F.col("exam"), F.col("grade"), F.col("subject"), label)
+    return corpus(segments.where(text.held("text", query)), exams).where(predicates(**filters)).withColumn("source", source)
+
+
+def matches(segments: DataFrame, exams: DataFrame, query: str, **filters) -> DataFrame:
+    """Hits with ``surface``, the array of their occurrences as written."""
+    return hits(segments, exams, query, **filters).withColumn("surface", text.surface_forms("text", query))
 
 
 HIT_ORDER = (F.desc_nulls_last, "year"), (F.asc_nulls_first, "subject"), (F.asc_nulls_first, "number"), (F.asc, "segment_id")
@@ -50,9 +51,14 @@ def hit_order() -> list[Column]:
 
 
 def search(segments: DataFrame, exams: DataFrame, query: str, limit: int | None = 50, width: int = 60, **filters) -> DataFrame:
-    """Hits, newest first; limited after the exact check, so a short query never gives fewer than there are."""
-    hits = matches(segments, exams, query, **filters).select("segment_id", "exam_id", "source", "subject", "year", "exam", "number", "page", F.size("surface").cast("long").alias("matches"), text.snippet(F.col("text"), query, width).alias("snippet"))
-    return hits.orderBy(*hit_order()).limit(limit) if limit else hits
+    """Hits, newest first; limited after the exact check, so a short query never gives fewer than there are.
+
+    Spellings and snippets are made of the hits that are left.
+    """
+    found = hits(segments, exams, query, **filters)
+    found = found.orderBy(*hit_order()).limit(limit) if limit else found
+    surface = text.surface_forms("text", query)
+    return found.select("segment_id", "exam_id", "source", "subject", "year", "exam", "number", "page", F.size(surface).cast("long").alias("matches"), text.snippet(F.col("text"), query, width).alias("snippet"))
 
 
 def _decided(form: Column) -> Column:
@@ -79,13 +85,13 @@ def occurrence_totals(hits: DataFrame) -> DataFrame:
 
 def compare(segments: DataFrame, exams: DataFrame, queries: list[str], **filters) -> DataFrame:
     """A row for each wording with its hits and occurrences, in one pass over the segments."""
-    wanted = [(i, q, text.query_key(q)) for i, q in enumerate(queries)]
+    wanted = list(enumerate(queries))
     rows = corpus(segments, exams).where(predicates(**filters))
-    per = F.array(*[F.when(text.key("text").contains(k) if k else F.lit(False), F.struct(F.lit(i).alias("ord"), F.lit(q).alias("query"), text.surface_forms("text", q).alias("surface"))) for i, q, k in wanted])
+    per = F.array(*[F.when(text.held("text", q), F.struct(F.lit(i).alias("ord"), F.lit(q).alias("query"), text.surface_forms("text", q).alias("surface"))) for i, q in wanted])
     found = rows.select(F.explode(F.filter(per, lambda x: x.isNotNull())).alias("m"), F.col("subject")).select("m.*", "subject")
     undecided = F.size(F.filter("surface", lambda f: ~_decided(f)))
     sums = found.groupBy("ord").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.size("surface") - undecided).cast("long").alias("total"), F.sum(undecided).cast("long").alias("undecided"))
-    names = segments.sparkSession.createDataFrame([(i, q) for i, q, _ in wanted], "ord int, query string")
+    names = segments.sparkSession.createDataFrame(wanted, "ord int, query string")
     return names.join(sums, "ord", "left").select("ord", "query", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "total", "undecided")])
 
 
@@ -100,7 +106,7 @@ def with_dominant(compared: DataFrame) -> DataFrame:
 def compare_by_subject(segments: DataFrame, exams: DataFrame, queries: list[str], **filters) -> DataFrame:
     """Hits and occurrences of each wording in each subject that has any."""
     rows = corpus(segments, exams).where(predicates(**filters))
-    per = F.array(*[F.when(text.key("text").contains(text.query_key(q)) if text.query_key(q) else F.lit(False), F.struct(F.lit(q).alias("query"), F.size(text.surface_forms("text", q)).alias("n"))) for q in queries])
+    per = F.array(*[F.when(text.held("text", q), F.struct(F.lit(q).alias("query"), F.size(text.surface_forms("text", q)).alias("n"))) for q in queries])
     found = rows.select("subject", F.explode(F.filter(per, lambda x: x.isNotNull())).alias("m"))
     return found.groupBy(F.coalesce("subject", F.lit("(미상)")).alias("subject"), F.col("m.query").alias("query")).agg(F.count(F.lit(1)).alias("hits"), F.sum("m.n").cast("long").alias("occurrences"))
 
@@ -113,7 +119,7 @@ def multi_term(segments: DataFrame, exams: DataFrame, line: str, **filters) -> D
     terms = parts[:5] if len(parts) > 1 else [line.strip()]
     rows = corpus(segments, exams).where(predicates(**filters))
     counts = F.array(*[F.size(text.surface_forms("text", t)) for t in terms])
-    out = rows.where(reduce(Column.__or__, [text.key("text").contains(text.query_key(t)) for t in terms if text.query_key(t)], F.lit(False)))
+    out = rows.where(reduce(Column.__or__, [text.held("text", t) for t in terms], F.lit(False)))
     return out.select("segment_id", F.size(F.filter(counts, lambda n: n > 0)).cast("long").alias("n_terms"), F.aggregate(counts, F.lit(0), lambda a, n: a + n).cast("long").alias("occurrences"))
 
 

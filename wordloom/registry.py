@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,11 +106,11 @@ _add("replace_scanned", lambda s, d: maintenance.superseded(_shelf(s, d)).select
 _add("prune_missing", lambda s, d: maintenance.vanished(_shelf(s, d), _shelf(s, d).where("exam_id % 50 < 30").select("path").distinct()).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE exam_id % 50 >= 30 AND n_questions = 0")
 _add("stale_parser", lambda s, d: maintenance.stale(_shelf(s, d), 2).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE parser < 2")
 
-_NAMES = ["2026_6월모평_생명과학1.pdf", "2014_수능_생명과학1.pdf", "2025_9월_경제.pdf", "2024_3학평_고2_확통.pdf", "2019학년도-수능-사회·문화.pdf", "메모.pdf"]
-_META = [(2026, "6월 모평", None, "생명과학I", True), (2014, "수능", None, "생명과학I", True), (2025, "9월 모평", None, "경제", True), (2024, "3월 학평", "고2", "확률과통계", True), (2019, "수능", None, "사회문화", True), (None, None, None, None, False)]
+_NAMES = ["2026_6월모평_생명과학1.pdf", "2014_수능_생명과학1.pdf", "2025_9월_경제.pdf", "2024_3학평_고2_확통.pdf", "2019학년도-수능-사회·문화.pdf", "메모.pdf", unicodedata.normalize("NFD", "2026_9월모평_생명 과학Ⅱ.pdf"), "2020_수능_" + "x_" * 120 + "한국사.PDF"]
+_META = [(2026, "6월 모평", None, "생명과학I", True), (2014, "수능", None, "생명과학I", True), (2025, "9월 모평", None, "경제", True), (2024, "3월 학평", "고2", "확률과통계", True), (2019, "수능", None, "사회문화", True), (None, None, None, None, False), (2026, "9월 모평", None, "생명과학II", True), (2020, "수능", None, "한국사", True)]
 _q = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else f"'{x}'"
 _add("meta_from_filename", lambda s, d: s.createDataFrame([(x,) for x in _NAMES], "name string").select("name", meta.from_filename(F.col("name")).alias("m")).select("name", "m.*").withColumn("year", F.coalesce("year", F.lit(0))), "SELECT name, CAST(coalesce(year, 0) AS INT) AS year, exam, grade, subject, explicit FROM (VALUES " + ", ".join(f"('{n}', " + ", ".join(map(_q, m)) + ")" for n, m in zip(_NAMES, _META, strict=True)) + ") t(name, year, exam, grade, subject, explicit)")
-_RAW = [("생명 과학Ⅰ", "생명과학I"), ("생명과학1", "생명과학I"), ("물리학 Ⅱ", "물리학II"), ("사회·문화", "사회문화"), ("국어 영역", "국어")]
+_RAW = [("생명 과학Ⅰ", "생명과학I"), ("생명과학1", "생명과학I"), ("물리학 Ⅱ", "물리학II"), ("사회·문화", "사회문화"), ("국어 영역", "국어"), (unicodedata.normalize("NFD", "[지구 과학 1]"), "지구과학I")]
 _add("canon_subject", lambda s, d: s.createDataFrame(_RAW, "raw string, x string").select("raw", meta.canon_subject(F.col("raw")).alias("subject")), "SELECT raw, subject FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _RAW) + ") t(raw, subject)")
 _add("directory_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", meta.directory_year(F.concat(F.lit("/x/2011/"), (F.col("page_id") % 9 + 2010).cast("string"), F.lit("/a.pdf"))).alias("year")), "SELECT page_id, CAST(page_id % 9 + 2010 AS INT) AS year FROM pages")
 
@@ -122,23 +123,70 @@ def _blocks(s, d):
 
 _B = "b AS (SELECT doc_id // 40 AS doc_id, CAST((doc_id % 40) // 20 AS INT) AS page, doc_id AS block_no, (doc_id * 37 % 101) * 8.0 AS y0, doc_id % 11 = 0 AS f, doc_id % 2 = 0 AND doc_id % 11 > 0 AS l, CASE WHEN doc_id % 11 = 0 OR doc_id % 2 = 0 THEN 40 ELSE 310 END AS x0 FROM documents)"
 _add("reading_order", lambda s, d: layout.reading_order(_blocks(s, d)).select("block_no", "col", "pos"), f"WITH {_B}, c AS (SELECT *, count(*) FILTER (l) OVER p >= 2 AND count(*) FILTER (NOT l AND NOT f) OVER p >= 2 AS two, row_number() OVER r AS raw, sum(f::INT) OVER r AS band FROM b WINDOW p AS (PARTITION BY doc_id, page), r AS (PARTITION BY doc_id, page ORDER BY y0, x0, block_no)), e AS (SELECT *, CAST(CASE WHEN f OR NOT two THEN -1 WHEN l THEN 0 ELSE 1 END AS INT) AS col FROM c) SELECT block_no, col, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two THEN band ELSE 0 END, CASE WHEN two THEN col ELSE 0 END, CASE WHEN two THEN y0 ELSE raw END, raw) AS INT) AS pos FROM e")
-_add("running_heads", lambda s, d: layout.strip_running_heads(_pages(s, d)).select("doc_id", "page", "pos"), "WITH l AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 // 10 AS page, doc_id % 10 AS pos, CASE WHEN doc_id % 10 = 0 THEN 'head' ELSE left(text, 30) || doc_id END AS text FROM documents) SELECT doc_id, page, pos FROM l WHERE text <> 'head'")
+_add("running_heads", lambda s, d: layout.strip_running_heads(_pages(s, d)).select("doc_id", "page", "pos"), "WITH l AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 // 10 AS page, doc_id % 10 AS pos, CASE WHEN doc_id % 10 = 0 THEN 'head' ELSE text || doc_id END AS text FROM documents) SELECT doc_id, page, pos FROM l WHERE text <> 'head'")
 
 
 def _pages(s, d):
     i = F.col("doc_id")
-    return v.documents(s, d).select(F.expr("doc_id div 100").alias("doc_id"), F.expr("doc_id % 100 div 10").alias("page"), (i % 10).alias("pos"), F.when(i % 10 == 0, "head").otherwise(F.concat(F.substring("text", 1, 30), i.cast("string"))).alias("text"))
+    return v.documents(s, d).select(F.expr("doc_id div 100").alias("doc_id"), F.expr("doc_id % 100 div 10").alias("page"), (i % 10).alias("pos"), F.when(i % 10 == 0, "head").otherwise(F.concat("text", i.cast("string"))).alias("text"))
 
 
-def _numbered(s, d):
-    i = F.col("doc_id")
-    return v.documents(s, d).select(F.expr("doc_id div 50").alias("doc_id"), (i % 50).cast("int").alias("line_no"), F.lit(1).alias("page"), F.when(i % 5 == 1, F.concat(F.expr("doc_id % 50 div 5 + 1").cast("string"), F.lit(". q"))).otherwise("body").alias("text"))
+# Papers of 50 documents, a line each: their texts behind the heads of papers with passages, elective parts that start
+# again with and without a header, parts named late, cover lines, and numbers that are out of place.
+_PARTED = [f"{i}. " for i in range(1, 9)] + ["[9~11] ", "9. ", "3. ", "10. 2024 ", "4. 15. ", "12. ", "(확률과 통계)"]
+_HEADS = [
+    ["", *_PARTED, *[f"{i}. " for i in range(13, 18)], "(미적분)", "13. ", *[f"{i}. " for i in range(14, 18)], "(기하)", "[12~14] ", *[f"{i}. " for i in range(12, 17)], "40. "],
+    ["", *[f"{i}. " for i in range(1, 13)], "제1교시 ", "[13~15] ", "13. ", "(화법과 작문)", *[f"{i}. " for i in range(14, 20)], "제1교시 ", "13. ", "", "(언어와 매체)", *[f"{i}. " for i in range(14, 19)], "", "제 2 교시 ", "12. ", "(기하)", *[f"{i}. " for i in range(13, 17)]],
+    ["[1~3] ", "[5-2] ", *[f"{i}. " for i in (1, 2, 3, 5, 7, 20, 8)], "(미적분)", "(미적분)", "9. ", "11. ", "", *[""] * 9, "8. ", "(기하)", "6. ", "7. ", "(확률과 통계)", "(미적분)", "7. ", "8. ", "[9～10] ", "9．", "1.5 "],
+]
+_HEADS = [h + [""] * (50 - len(h)) for h in _HEADS]
 
 
-_add("segment_lines", lambda s, d: segmenting.segment(_numbered(s, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("number"), F.lit(0)).alias("top")), "SELECT doc_id // 50 AS doc_id, k AS kind, count(*) AS n, CAST(coalesce(max(m), 0) AS INT) AS top FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'question' ELSE 'front' END AS k, CASE WHEN doc_id % 5 = 1 THEN doc_id % 50 // 5 + 1 END AS m FROM documents WHERE doc_id % 5 = 1 OR doc_id % 50 = 0) GROUP BY ALL")
+def _numbered(s, d):
+    i = F.col("doc_id")
+    head = F.get(F.get(F.array(*[F.array(*map(F.lit, h)) for h in _HEADS]), F.expr("cast(doc_id div 50 % 3 as int)")), (i % 50).cast("int"))
+    line = F.when(head.startswith("("), head).otherwise(F.concat(head, F.lit("x "), F.translate("text", "\n", " ")))
+    return v.documents(s, d).select(F.expr("doc_id div 50").alias("doc_id"), (i % 50).cast("int").alias("line_no"), F.lit(1).alias("page"), F.when(head.startswith("제"), F.concat(line, F.lit(" 문제지"))).otherwise(line).alias("text"))
+
+
+def _segmented(s, d):
+    rows = segmenting.segment(_numbered(s, d))
+    return rows.select("doc_id", "seg_no", "kind", F.coalesce("number", F.lit(0)).alias("number"), F.coalesce("number_end", F.lit(0)).alias("number_end"), F.coalesce("part", F.lit("")).alias("part"), F.md5("text").alias("text_md5"), F.size("line_nos").cast("long").alias("n_lines"))
+
+
+_NUM = "regexp_extract(t, '^([0-9]{1,2})\\s*[.．]', 1)"
+_SEGMENT_SQL = f"""WITH RECURSIVE h AS (SELECT {_HEADS} AS hs),
+l0 AS (SELECT doc_id // 50 AS doc_id, doc_id % 50 AS pos, hs[CAST(doc_id // 50 % 3 AS INT) + 1][CAST(doc_id % 50 AS INT) + 1] AS hd, replace(text, chr(10), ' ') AS body FROM documents, h),
+l AS (SELECT doc_id, pos, CASE WHEN hd LIKE '(%' THEN hd WHEN hd LIKE '제%' THEN hd || 'x ' || body || ' 문제지' ELSE hd || 'x ' || body END AS t FROM l0),
+p AS (SELECT *, regexp_matches(trim(t), '문제지$|^제 *[0-9] *교시') AS cover, regexp_extract(t, '^[(]([가-힣 ]+)[)]$', 1) AS name,
+  TRY_CAST(regexp_extract(t, '^\\[([0-9]+)[~～-]([0-9]+)\\]', 1) AS INT) AS pa, TRY_CAST(regexp_extract(t, '^\\[([0-9]+)[~～-]([0-9]+)\\]', 2) AS INT) AS pb,
+  CASE WHEN regexp_matches(t, '^[0-9]{{1,2}}\\s*[.．]\\s*[^0-9 ]') OR regexp_matches(t, '^[0-9]{{1,2}}[.．] +[0-9]') AND NOT regexp_matches(t, '^[0-9]{{1,2}}[.．] +[0-9]{{1,2}} *[.．]') THEN TRY_CAST({_NUM} AS INT) END AS q FROM l),
+e AS (SELECT doc_id, pos, name, coalesce(pa, q) AS n, coalesce(pb, q) AS m, pa IS NULL AS asks, pos - coalesce(max(CASE WHEN cover THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos), -99) AS near,
+  row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM p WHERE name <> '' OR pa IS NOT NULL OR q IS NOT NULL),
+e2 AS (SELECT * EXCLUDE (k, near), row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, pos - coalesce((SELECT max(c.pos) FROM p c WHERE c.doc_id = e.doc_id AND c.cover AND c.pos <= e.pos), -99) AS near FROM e),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, 0 AS last, -1 AS border, CAST('' AS VARCHAR) AS now, CAST('' AS VARCHAR) AS prev, FALSE AS due, CAST('' AS VARCHAR) AS act, 0 AS n, 0 AS m, TRUE AS asks, 0 AS ln, CAST('' AS VARCHAR) AS lp FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL
+SELECT doc_id, k, pos, CASE act WHEN 'turn' THEN border WHEN 'take' THEN CASE WHEN asks THEN n ELSE last END WHEN 'again' THEN CASE WHEN asks THEN n ELSE n - 1 END ELSE last END,
+  CASE WHEN act = 'first' THEN last WHEN act = 'again' AND n <= border THEN n - 1 ELSE border END,
+  CASE WHEN act IN ('first', 'turn', 'name') THEN name WHEN act = 'again' AND NOT due THEN '?' ELSE now END,
+  CASE WHEN act = 'turn' THEN now ELSE prev END, CASE WHEN act = 'turn' THEN TRUE WHEN act IN ('take', 'again') THEN FALSE ELSE due END, act, n, m, asks,
+  CASE WHEN act = 'name' THEN border + 1 WHEN act = 'again' AND n <= border THEN n ELSE 0 END, CASE WHEN act = 'name' THEN name WHEN act = 'again' AND n <= border THEN CASE WHEN due THEN prev ELSE now END ELSE '' END
+FROM (SELECT f.doc_id, e.k, e.pos, f.last, f.border, f.now, f.prev, f.due, e.name, e.n, e.m, e.asks,
+  CASE WHEN e.name <> '' THEN CASE WHEN f.last = 0 OR e.name = f.now THEN '' WHEN f.border < 0 THEN 'first' WHEN f.now = '?' THEN 'name' ELSE 'turn' END
+    WHEN e.n > e.m THEN '' WHEN e.n > f.last AND e.n <= f.last + CASE WHEN e.asks THEN 3 ELSE 4 END THEN 'take'
+    WHEN f.border >= 0 AND abs(e.n - f.border) <= 3 AND (f.due OR f.now <> '?' AND e.n <= f.last AND e.near <= 8) THEN 'again' ELSE '' END AS act
+  FROM f JOIN e2 e ON e.doc_id = f.doc_id AND e.k = f.k + 1)),
+s AS (SELECT *, act IN ('take', 'again') AS numbered FROM f WHERE act IN ('first', 'turn', 'take', 'again')),
+c AS (SELECT s.doc_id, s.pos, min_by(r.lp, r.k) AS lp FROM s JOIN f r ON r.doc_id = s.doc_id AND r.ln > 0 AND r.k > s.k AND s.numbered AND s.n >= r.ln AND s.now IN ('', '?') GROUP BY ALL),
+g AS (SELECT l.doc_id, l.pos, l.t, max(CASE WHEN s.pos IS NOT NULL THEN l.pos END) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AS own FROM l LEFT JOIN s USING (doc_id, pos)),
+x AS (SELECT doc_id, coalesce(own, -1) AS own, trim(string_agg(t, chr(10) ORDER BY pos)) AS text, count(*) AS n_lines FROM g GROUP BY ALL)
+SELECT x.doc_id, CAST(row_number() OVER (PARTITION BY x.doc_id ORDER BY x.own) - 1 AS INT) AS seg_no, CASE WHEN s.numbered THEN CASE WHEN s.asks THEN 'question' ELSE 'passage' END ELSE 'front' END AS kind,
+  CAST(CASE WHEN s.numbered THEN s.n ELSE 0 END AS INT) AS number, CAST(CASE WHEN s.numbered THEN s.m ELSE 0 END AS INT) AS number_end, CASE WHEN NOT coalesce(s.numbered, FALSE) THEN '' WHEN s.now NOT IN ('', '?') THEN s.now ELSE coalesce(c.lp, '') END AS part, md5(x.text) AS text_md5, n_lines
+FROM x LEFT JOIN s ON s.doc_id = x.doc_id AND s.pos = x.own LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.own"""
+_add("segment_lines", _segmented, _SEGMENT_SQL)
 _add("compare_by_subject", lambda s, d: c.compare_by_subject(v.segments_a(s, d), v.exams_a(s, d), _WORDINGS), "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT subject, '{q}' AS query, len(regexp_extract_all(text, '{_forms(q.replace(' ', ''))}')) AS n FROM ex WHERE contains(key, '{q.replace(' ', '')}')" for q in _WORDINGS) + ") SELECT subject, query, CAST(count(*) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS occurrences FROM f GROUP BY ALL")
 _add("compare_dominant", lambda s, d: c.with_dominant(c.compare(v.segments_a(s, d), v.exams_a(s, d), _WORDINGS)).select("query", "occurrences", "dominant"), "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query, CAST(coalesce(sum(len(regexp_extract_all(text, '{_forms(q.replace(' ', ''))}'))), 0) AS BIGINT) AS occurrences FROM ex" for q in _WORDINGS) + ") SELECT query, occurrences, occurrences = max(occurrences) OVER () AND count(*) OVER (PARTITION BY occurrences) = 1 AND occurrences > 0 AS dominant FROM f")
-_add("search_turns", lambda s, d: v.segments_b(s, d).where(c.predicates(kinds=("question",)) & text.key("text").contains("the")).select("segment_id", F.size(text.surface_forms("text", "the")).cast("long").alias("matches")), f"SELECT conv_id * 1000 + turn AS segment_id, CAST(len(regexp_extract_all(text, '{_forms('the')}')) AS BIGINT) AS matches FROM conversations WHERE role = 'user' AND contains(translate(text, ' ' || chr(10) || chr(65532), ''), 'the')")
+_add("search_turns", lambda s, d: v.segments_b(s, d).where(c.predicates(kinds=("question",)) & text.held("text", "the")).select("segment_id", F.size(text.surface_forms("text", "the")).cast("long").alias("matches")), f"SELECT conv_id * 1000 + turn AS segment_id, CAST(len(regexp_extract_all(text, '{_forms('the')}')) AS BIGINT) AS matches FROM conversations WHERE role = 'user' AND contains(translate(text, ' ' || chr(10) || chr(65532), ''), 'the')")
 _add("source_labels", lambda s, d: v.segments_a(s, d).join(v.exams_a(s, d), "exam_id").select("segment_id", meta.source_label(F.col("year"), F.col("exam"), F.col("grade"), F.col("subject"), meta.segment_label(F.col("kind"), F.col("part"), F.col("number"), F.col("number_end"))).alias("source")), "WITH $A SELECT segment_id, source_label AS source FROM ex")
 _EXAMS = [("2014학년도 대학수학능력시험", "수능"), ("2026학년도 6월 모의평가", "6월 모평"), ("2024년 3월 고2 전국연합학력평가", "3월 학평"), ("모의평가 문제지", "모의평가"), ("09월 학력평가와 수능", "9월 학평"), ("중간고사", None)]
 _add("detect_exam", lambda s, d: s.createDataFrame(_EXAMS, "cover string, x string").select("cover", meta.detect_exam(F.col("cover")).alias("exam")), "SELECT cover, exam FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _EXAMS) + ") t(cover, exam)")
