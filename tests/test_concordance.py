@@ -1,8 +1,11 @@
+import json
+
 from pyspark.sql import functions as F
 
 from wordloom.functions import meta, text
 from wordloom.operators import concordance, layout, maintenance
 from wordloom.sources import archive
+from wordloom.sources.store import Store
 from wordloom.streaming import watch
 
 
@@ -47,9 +50,19 @@ def test_archive_round_trip_and_watch(spark, tmp_path):
     archive.export(exams, segs, f"{tmp_path}/in", compression="none")
     back = archive.read(spark, f"{tmp_path}/in")
     assert archive.papers(back).count() == 2 and archive.segments(back).count() == 2
+    text = sorted(line for f in sorted((tmp_path / "in").glob("part-*")) for line in f.read_text().splitlines())
+    assert json.loads((sorted((tmp_path / "in").glob("part-*"))[0]).read_text())["format"] == archive.FORMAT
+    paper = json.loads(text[-1])
+    assert len(text) == 3 and paper["grade"] is None and set(paper["segments"][0]) == {"kind", "number", "number_end", "page", "text"}
+    with open(f"{tmp_path}/in/part-odd.json", "w") as f:
+        f.write(json.dumps(paper | {"sha1": "s3", "segments": [paper["segments"][0] | {"rects": "not an array", "tables": [[["a"]]]}]}) + "\n")
+    kept, told = Store(spark, f"{tmp_path}/store"), []
     for _ in range(2):
-        watch.watch(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/ck").awaitTermination()
-    assert watch.snapshot(spark, f"{tmp_path}/store").count() == 2
+        watch.watch(spark, f"{tmp_path}/in", kept, f"{tmp_path}/ck", told=told.append).awaitTermination()
+    assert kept.read()[0].count() == 3 and [r.status for log in told for r in log] == ["added"] * 3
+    assert [r.source for r in concordance.search(*kept.read()[::-1], "빛에너지").collect()][0].startswith("2026")
+    odd = kept.read()[1].where(F.col("exam_id") == F.xxhash64(F.lit("s3"))).first()
+    assert odd.rects is None and odd.tables == [[["a"]]]
     assert maintenance.upsert(exams, exams).count() == 2
 
 

@@ -1,6 +1,7 @@
 """From positioned blocks to a stored corpus, its page, report and command line."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,34 @@ def test_store_page_report_and_commands(batch, spark, tmp_path, capsys):
     assert cli.run(spark, ["--store", at, "stats"]) == 2
 
 
+def test_watched_papers_are_searched(spark, tmp_path, capsys):
+    folder = tmp_path / "in" / "2019"
+    folder.mkdir(parents=True)
+    at = ["--store", f"{tmp_path}/store"]
+    put = lambda name, *lines: (folder / name).write_text("\n".join(lines))
+    watch = lambda: cli.run(spark, [*at, "watch", f"{tmp_path}/in", "--once", "--reader", "tests.readers:read_lines"])
+    put(unicodedata.normalize("NFD", "2026_6월모평_생명과학1.pdf"), "1. 빛 에너지", LONG, "2. 둘", LONG)
+    put("bad.pdf", "broken")
+    put("empty.pdf")
+    assert watch() == 0
+    assert capsys.readouterr().out.count("failed") == 1
+    put("b.pdf", "1. 빛에너지", LONG)
+    put("c.pdf", "1. 빛 에너지", LONG, "2. 둘", LONG)  # what the first one holds, but for a byte
+    put("copy.pdf", "1. 빛에너지", LONG)
+    assert watch() == 0
+    store = Store(spark, f"{tmp_path}/store")
+    exams, _ = store.read()
+    assert {(r.year, r.exam, r.subject) for r in exams.collect()} >= {(2026, "6월 모평", "생명과학I"), (2019, None, None)} and len(store._live()) == 2
+    capsys.readouterr()
+    assert cli.run(spark, [*at, "search", "빛에너지", "--subject", "생명과학1"]) == 0 and "2026학년도 6월 모평 · 생명과학I · 1번" in capsys.readouterr().out
+    before = {r.segment_id for r in store.read()[1].collect()}
+    assert cli.run(spark, [*at, "ingest", f"{tmp_path}/in", "--reader", "tests.readers:read_lines", "--target", "b.pdf", "--force", "--year", "2001"]) == 0
+    exams, segments = store.read()
+    assert exams.where("year = 2001").count() == 1 and exams.count() == 2 and {r.segment_id for r in segments.collect()} == before and segments.count() == len(before)
+    store.compact()
+    assert store.read()[0].count() == 2 and store._live()[0].startswith("v=") and len(store._live()) == 1
+
+
 def test_dominant_and_highlight(batch, spark):
     got = concordance.with_dominant(concordance.compare(batch.segments, batch.exams, ["빛에너지", "물음", "없음"])).orderBy("ord").collect()
     assert [(r.occurrences, r.dominant) for r in got] == [(14, False), (14, False), (0, False)]

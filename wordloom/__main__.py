@@ -6,6 +6,7 @@ Exit codes: 0 with results, 1 without, 2 if the store has another layout.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -13,14 +14,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import concordance, ingest, layout
+from .operators import concordance, ingest, layout, maintenance
 from .plans.schemas import SchemaMismatch
 from .sources import archive, page
 from .sources.store import Store
 from .streaming import watch
 
-ALL = 10_000
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wordloom")
@@ -46,7 +45,10 @@ def parser() -> argparse.ArgumentParser:
     command("show").add_argument("segment_id", type=int)
     for name in ("subjects", "stats", "coverage", "report", "compact"):
         command(name)
-    c = command("ingest", "blocks", "files", filters=True)
+    c = command("ingest", "source", filters=True)  # a folder of papers with --reader, else Parquet blocks with --files
+    c.add_argument("--reader", help="module:function that gives the blocks of a file's bytes")
+    c.add_argument("--files", help="Parquet of sha1, path, filename")
+    c.add_argument("--target", help="only files in a folder of this name, or whose name begins with it")
     c.add_argument("--tables")
     c.add_argument("--drawings")
     c.add_argument("--force", action="store_true")
@@ -54,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     command("export", "path")
     command("html", "path", filters=True).add_argument("--max-mb", type=float, default=page.MAX_MB)
     c = command("watch", "folder")
+    c.add_argument("--reader")
     c.add_argument("--once", action="store_true")
     c.add_argument("--interval", default="5 seconds")
     return p
@@ -93,7 +96,8 @@ def search(spark, store, a) -> int:
 def variants(spark, store, a) -> int:
     exams, segments = store.read()
     hits = concordance.matches(segments, exams, a.query, **_filters(a))
-    code = _table(concordance.variants(hits).orderBy(F.desc("n"), "form").limit(ALL))
+    forms = concordance.with_share(concordance.variants(hits)).select("form", "n", F.concat(F.col("percent").cast("string"), F.lit("%")), F.array_join("sources", "; "))
+    code = _table(forms.orderBy(F.desc("n"), "form"))
     print("undecidable\t" + str(concordance.occurrence_totals(hits).first()["undecided"]))
     return code
 
@@ -122,31 +126,39 @@ def stats(spark, store, a) -> int:
     return _table(exams.select("year", "exam", "subject", "n_questions", "filename").orderBy(F.desc("year"), "subject", "filename"))
 
 
-def ingest_blocks(spark, store, a) -> int:
-    """Blocks and files are Parquet; a decoder of another format is given to ``ingest.decode`` in code."""
-    exams, segments = store.read()
-    files, more = spark.read.parquet(a.files), {k: spark.read.parquet(v) for k in ("tables", "drawings") if (v := getattr(a, k))}
-    todo = files if a.force else ingest.fresh(files, exams)
-    blocks = spark.read.parquet(a.blocks).join(todo.select(F.col("sha1").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    done = ingest.add(exams, segments, ingest.ingest(todo, blocks, overrides=_filters(a), **more), a.force)
-    log = done.log.select("status", "filename", "n_questions", "error").collect()  # one short row for each file of the batch
-    store.write(done.exams, done.segments)
+def _reader(name: str | None):
+    if not name:
+        return None
+    module, function = name.split(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def _told(log: list) -> int:
     for r in log:
         print(*["" if v is None else v for v in r], sep="\t")
     return 0 if not log or any(r["status"] != "failed" for r in log) else 1
 
 
+def ingest_papers(spark, store, a) -> int:
+    exams, _ = store.read()
+    if a.reader:
+        files = archive.pdf_files(spark, a.source)
+        files = maintenance.targets(files, a.target) if a.target else files
+        return _told(watch.apply(store, exams, watch.read_files(files, exams, _reader(a.reader), a.force, _filters(a)), a.force))
+    files, more = spark.read.parquet(a.files), {k: spark.read.parquet(v) for k in ("tables", "drawings") if (v := getattr(a, k))}
+    files = maintenance.targets(files, a.target) if a.target else files
+    todo = files if a.force else ingest.fresh(files, exams)
+    blocks = spark.read.parquet(a.source).join(todo.select(F.col("sha1").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return _told(watch.apply(store, exams, ingest.ingest(todo, blocks, overrides=_filters(a), **more), a.force))
+
+
 def import_archive(spark, store, a) -> int:
-    exams, segments = store.read()
-    found = archive.read(spark, a.path)
-    papers = archive.papers(found).dropDuplicates(["sha1"]).withColumns({"exam_id": F.xxhash64("sha1"), "ingested_at": F.current_timestamp()})
-    rects = F.transform("rects", lambda r: F.struct(r[0].cast("int").alias("page"), *[r[i + 1].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]))
-    segs = archive.segments(found.dropDuplicates(["sha1"])).withColumns({"exam_id": F.xxhash64("sha1"), "segment_id": F.xxhash64("sha1", "seg_no"), "rects": rects}).drop("sha1")
-    log = papers.select("sha1", F.lit(None).cast("string").alias("error"))
-    done = ingest.add(exams, segments, ingest.Batch(papers, segs, log), a.force)
-    tallies = watch.status_tallies(done.log).collect()
-    store.write(done.exams, done.segments)
-    print(*[f"{r['status']} {r['n']}" for r in tallies], sep="\n")
+    exams, _ = store.read()
+    done = ingest.change(exams, archive.batch(archive.read(spark, a.path)), a.force)
+    tallies = {r["status"]: r["n"] for r in watch.status_tallies(done.log).collect()}
+    if tallies.keys() - {"skipped"}:
+        store.append(done.exams, done.segments, done.gone)
+    print(*[f"{k} {v}" for k, v in tallies.items()], sep="\n")
     return 0
 
 
@@ -170,12 +182,12 @@ def report(spark, store, a) -> int:
 
 
 def follow(spark, store, a) -> int:
-    watch.watch(spark, a.folder, f"{a.store}-watch", f"{a.store}-watch-checkpoint", a.once, a.interval).awaitTermination()
+    watch.watch(spark, a.folder, store, f"{a.store}-watch-checkpoint", _reader(a.reader), a.once, a.interval, _told).awaitTermination()
     return 0
 
 
 COMMANDS = {
-    "search": search, "variants": variants, "compare": compare, "show": show, "stats": stats, "ingest": ingest_blocks, "import": import_archive, "export": export, "html": html, "report": report, "watch": follow,
+    "search": search, "variants": variants, "compare": compare, "show": show, "stats": stats, "ingest": ingest_papers, "import": import_archive, "export": export, "html": html, "report": report, "watch": follow,
     "subjects": lambda spark, store, a: _table(concordance.subjects(store.read()[0]).orderBy(F.desc("n_exams"), "subject")),
     "coverage": lambda spark, store, a: _table(concordance.coverage(store.read()[0]).orderBy(F.desc("year"), "exam", "subject")),
     "compact": lambda spark, store, a: print("%d -> %d bytes" % store.compact()) or 0,

@@ -88,8 +88,9 @@ def _spans(text: pd.Series, wanted: pd.Series) -> pd.Series:
     def one(t, q):
         if not t or not q:
             return []
-        at = [i for i, c in enumerate(t) if not c.isspace() and c != OBJECT]
-        hay = "".join(FOLDS.get(t[i], t[i]) for i in at)
+        # A character that composes to several stands for each of them.
+        kept = [(i, FOLDS.get(x, x)) for i, c in enumerate(t) if not c.isspace() and c != OBJECT for x in unicodedata.normalize("NFC", c)]
+        at, hay = [i for i, _ in kept], "".join(x for _, x in kept)
         out, pos = [], hay.find(q)
         while pos >= 0:
             out.append({"start": at[pos], "end": at[pos + len(q) - 1] + 1})

@@ -6,6 +6,7 @@ join picks its side by size, never by a hint.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +71,16 @@ def variants(hits: DataFrame) -> DataFrame:
     rows = hits.select("source", F.struct((-F.coalesce("year", F.lit(-1))).alias("y"), F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("number", F.lit(-1)).alias("n"), F.col("segment_id").alias("i")).alias("at"), F.explode("surface").alias("raw"))
     forms = rows.where(_decided(F.col("raw"))).withColumn("form", F.regexp_replace("raw", "[ \\t]+", " "))
     by_source = forms.groupBy("form", "source").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("at", "source"))), 1, 3)
-    counted = by_source.groupBy("form").agg(F.sum("n").alias("n"))
-    ranked = by_source.withColumn("r", F.row_number().over(Window.partitionBy("form").orderBy("at"))).where("r <= 3").groupBy("form").agg(first.alias("f"))
-    return counted.join(ranked, "form").select("form", "n", F.transform("f", lambda x: x["source"]).alias("sources"))
+    # Ranked and summed by one window: the forms' rows are shuffled once.
+    form = Window.partitionBy("form")
+    ranked = by_source.withColumns({"total": F.sum("n").over(form), "r": F.row_number().over(form.orderBy("at"))}).where("r <= 3")
+    first = F.array_sort(F.collect_list(F.struct("at", "source")))
+    return ranked.groupBy("form").agg(F.first("total").alias("n"), first.alias("f")).select("form", "n", F.transform("f", lambda x: x["source"]).alias("sources"))
+
+
+def with_share(forms: DataFrame) -> DataFrame:
+    """Forms with the share of each in all, in per cent; one row of totals is joined."""
+    return forms.join(forms.agg(F.sum("n").alias("_all")), F.lit(True)).withColumn("percent", F.round(100 * F.col("n") / F.col("_all"), 0).cast("int")).drop("_all")
 
 
 def occurrence_totals(hits: DataFrame) -> DataFrame:
@@ -111,12 +118,24 @@ def compare_by_subject(segments: DataFrame, exams: DataFrame, queries: list[str]
     return found.groupBy(F.coalesce("subject", F.lit("(미상)")).alias("subject"), F.col("m.query").alias("query")).agg(F.count(F.lit(1)).alias("hits"), F.sum("m.n").cast("long").alias("occurrences"))
 
 
+def terms_of(line: str) -> list[str]:
+    """The terms of a query line: cut at commas, slashes and ``vs``; five at most, as the interface has it."""
+    parts = [t.strip() for t in re.split(r"[,，/]|\s+vs\s+", line, flags=re.I) if t.strip()]
+    return parts[:5] if len(parts) > 1 else [line.strip()]
+
+
+def multi_term_spans(segments: DataFrame, exams: DataFrame, line: str, **filters) -> DataFrame:
+    """Segments that hold any of the terms, with the spans of all of them in one array, by start (then by term)."""
+    terms = terms_of(line)
+    rows = corpus(segments, exams).where(predicates(**filters)).where(reduce(Column.__or__, [text.held("text", t) for t in terms], F.lit(False)))
+    of_term = lambda i: lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("term"), x["end"].alias("end"))
+    marked = [F.transform(text.spans("text", t), of_term(i)) for i, t in enumerate(terms)]
+    return rows.select("segment_id", F.array_sort(F.concat(*marked)).alias("spans"))
+
+
 def multi_term(segments: DataFrame, exams: DataFrame, line: str, **filters) -> DataFrame:
     """Segments that hold any of the terms (cut at commas, slashes and ``vs``; five at most), with terms and occurrences."""
-    import re
-
-    parts = [t.strip() for t in re.split(r"[,，/]|\s+vs\s+", line, flags=re.I) if t.strip()]
-    terms = parts[:5] if len(parts) > 1 else [line.strip()]
+    terms = terms_of(line)
     rows = corpus(segments, exams).where(predicates(**filters))
     counts = F.array(*[F.size(text.surface_forms("text", t)) for t in terms])
     out = rows.where(reduce(Column.__or__, [text.held("text", t) for t in terms], F.lit(False)))

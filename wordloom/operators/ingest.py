@@ -120,9 +120,30 @@ def fresh(files: DataFrame, exams: DataFrame) -> DataFrame:
     return files.join(exams.select("sha1"), "sha1", "left_anti")
 
 
-def add(exams: DataFrame, segments: DataFrame, batch: Batch, force: bool = False) -> Batch:
-    """The corpus with a batch: a known paper stays as it is, or with ``force`` is replaced with all its segments."""
-    known = exams.select("sha1", F.lit(True).alias("_known"))
+@dataclass
+class Change:
+    """What a batch does to a corpus: papers and segments that come, papers (exam_id) whose old rows go, and a log."""
+
+    exams: DataFrame
+    segments: DataFrame
+    gone: DataFrame | None
+    log: DataFrame
+
+
+def change(exams: DataFrame, batch: Batch, force: bool = False) -> Change:
+    """A known paper stays as it is, or with ``force`` is replaced with all its segments."""
+    known = exams.select("sha1").distinct()
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("_known").isNull(), "added").otherwise("replaced" if force else "skipped")
-    stay, come = (segments.join(batch.exams.select("exam_id"), "exam_id", "left_anti"), batch.segments) if force else (segments, batch.segments.join(exams.select("exam_id"), "exam_id", "left_anti"))
-    return Batch(maintenance.upsert(exams, batch.exams, force), stay.unionByName(come, allowMissingColumns=True), batch.log.join(known, "sha1", "left").withColumn("status", status).drop("_known"))
+    log = batch.log.join(known.withColumn("_known", F.lit(True)), "sha1", "left").withColumn("status", status).drop("_known")
+    if force:
+        return Change(batch.exams, batch.segments, exams.join(batch.exams.select("sha1"), "sha1", "left_semi").select("exam_id"), log)
+    new = batch.exams.join(known, "sha1", "left_anti")
+    return Change(new, batch.segments.join(new.select("exam_id"), "exam_id", "left_semi"), None, log)
+
+
+def add(exams: DataFrame, segments: DataFrame, batch: Batch, force: bool = False) -> Batch:
+    """The whole corpus with a batch."""
+    done = change(exams, batch, force)
+    if done.gone is not None:
+        exams, segments = (maintenance.delete(rows, done.gone) for rows in (exams, segments))
+    return Batch(exams.unionByName(done.exams, allowMissingColumns=True), segments.unionByName(done.segments, allowMissingColumns=True), done.log)

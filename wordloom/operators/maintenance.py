@@ -24,10 +24,26 @@ def delete(rows: DataFrame, gone: DataFrame, key: str = "exam_id") -> DataFrame:
 
 
 def superseded(exams: DataFrame) -> DataFrame:
-    """Papers without questions for which another paper of the same year, subject and (null-safe) exam has some."""
-    a, b = exams.where("n_questions = 0").alias("a"), exams.where("n_questions > 0").alias("b")
-    same = (F.col("a.year") == F.col("b.year")) & (F.col("a.subject") == F.col("b.subject")) & F.col("a.exam").eqNullSafe(F.col("b.exam")) & (F.col("a.exam_id") != F.col("b.exam_id"))
-    return a.join(b, same, "left_semi")
+    """Papers without questions for which another paper of the same year, subject and (null-safe) exam has some.
+
+    What is asked of a year, subject and exam is whether any paper has questions, one row for each, so one that is very
+    common costs no more: a paper without questions is never the one that has them.
+    """
+    asked = exams.where("n_questions > 0").select("year", "subject", F.struct("exam").alias("_e")).distinct()
+    empty = exams.where("n_questions = 0").withColumn("_e", F.struct("exam"))
+    return empty.join(asked, ["year", "subject", "_e"], "left_semi").drop("_e")
+
+
+def present(exams: DataFrame, files: DataFrame) -> DataFrame:
+    """Papers whose file is still there."""
+    return exams.join(files.select("path").distinct(), "path", "left_semi")
+
+
+def targets(files: DataFrame, target: str) -> DataFrame:
+    """Files to read again: those in a folder of this name, or whose own name begins with it."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return files.where(F.array_contains(folders, target) | F.element_at(parts, -1).startswith(target))
 
 
 def vanished(exams: DataFrame, files: DataFrame, enabled: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators import concordance as c
 from .operators import layout, maintenance, segmenting
 from .plans import schemas
 from .plans import views as v
-from .sources import archive
+from .sources import archive, page
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,7 @@ def _variants_sql(q: str) -> str:
 
 
 _add("variants", lambda s, d: c.variants(_hits(s, d, "of the")).select("form", "n"), _variants_sql("ofthe"))
+_add("variants_share", lambda s, d: c.with_share(c.variants(_hits(s, d, "the and"))).select("form", "n", "percent"), "WITH f AS (" + _variants_sql("theand").replace("WITH $A, f AS", "WITH $A, f AS") + ") SELECT form, n, CAST(round(100 * n / sum(n) OVER ()) AS INT) AS percent FROM f")
 _add("variants_ambiguous", lambda s, d: c.occurrence_totals(_hits(s, d, "e.Th")), f"WITH $A, f AS (SELECT segment_id, regexp_extract_all(text, '{_forms('e.Th')}') AS s FROM ex WHERE contains(key, 'e.Th')) SELECT CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(s)) AS BIGINT) AS occurrences, CAST(sum(len(list_filter(s, lambda x: NOT contains(x, chr(10))))) AS BIGINT) AS decided, CAST(sum(len(list_filter(s, lambda x: contains(x, chr(10))))) AS BIGINT) AS undecided FROM f")
 _add(
     "variants_sources",
@@ -67,6 +68,13 @@ _add(
     "WITH $A, f AS (" + " UNION ALL ".join(f"SELECT {i} AS ord, '{q}' AS query, regexp_extract_all(text, '{_forms(q.replace(' ', ''))}') AS s FROM ex WHERE contains(key, '{q.replace(' ', '')}')" for i, q in enumerate(_WORDINGS)) + ") SELECT CAST(ord AS INT) AS ord, query, CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(list_filter(s, lambda x: NOT contains(x, chr(10))))) AS BIGINT) AS total, CAST(sum(len(list_filter(s, lambda x: contains(x, chr(10))))) AS BIGINT) AS undecided FROM f GROUP BY ALL",
 )
 _add("multi_term_union", lambda s, d: c.multi_term(v.segments_a(s, d), v.exams_a(s, d), "of the, is and"), f"WITH $A, f AS (SELECT segment_id, len(regexp_extract_all(text, '{_forms('ofthe')}')) AS a, len(regexp_extract_all(text, '{_forms('isand')}')) AS b FROM ex) SELECT segment_id, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS n_terms, CAST(a + b AS BIGINT) AS occurrences FROM f WHERE a + b > 0")
+_P1, _P2 = "ofthe", "isand"
+_span_sql = lambda q, i: f"list_transform(list_filter(range(1, length(key) - {len(q) - 1} + 1), lambda j: substr(key, j, {len(q)}) = '{q}'), lambda j: (pos[j], {i}, pos[j + {len(q) - 1}] + 1))"
+_add(
+    "multi_term_spans",
+    lambda s, d: c.multi_term_spans(v.segments_a(s, d), v.exams_a(s, d), "of the, is and").select("segment_id", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["term"], x["end"])), " ").alias("spans")),
+    f"WITH $A, k AS (SELECT segment_id, key, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 1) NOT IN (' ', chr(10), chr(65532))) AS pos FROM ex WHERE contains(key, '{_P1}') OR contains(key, '{_P2}')), m AS (SELECT segment_id, list_sort(list_concat({_span_sql(_P1, 0)}, {_span_sql(_P2, 1)})) AS s FROM k) SELECT segment_id, array_to_string(list_transform(s, lambda x: x[1] || ':' || x[2] || ':' || x[3]), ' ') AS spans FROM m",
+)
 _add("snippet", lambda s, d: _hits(s, d, "ofthe").select("segment_id", text.snippet(F.col("text"), "ofthe").alias("snippet")), f"WITH $A, f AS (SELECT segment_id, text, regexp_extract(text, '{_forms('ofthe')}') AS hit FROM ex WHERE contains(key, 'ofthe')), g AS (SELECT *, strpos(text, hit) - 1 AS a, length(hit) AS m, length(text) AS n FROM f) SELECT segment_id, replace(CASE WHEN a > 60 THEN '…' ELSE '' END || substr(text, greatest(a - 60, 0) + 1, least(a, 60)) || '《' || hit || '》' || substr(text, a + m + 1, 60) || CASE WHEN a + m + 60 < n THEN '…' ELSE '' END, chr(10), ' ') AS snippet FROM g")
 _add("subjects", lambda s, d: c.subjects(v.exams_a(s, d)), "WITH $A SELECT subject, CAST(count(*) AS BIGINT) AS n_exams, CAST(sum(n_questions) AS BIGINT) AS n_questions FROM exams GROUP BY subject")
 _add("stats", lambda s, d: c.stats(v.segments_a(s, d), v.exams_a(s, d)), "WITH $A SELECT (SELECT count(*) FROM exams) AS exams, (SELECT CAST(4 * count(*) AS BIGINT) FROM exams) AS pages, (SELECT count(*) FROM ex) AS questions")
@@ -85,15 +93,16 @@ def _papers(s, d):
     return v.documents(s, d).groupBy(F.sha1("text").alias("sha1")).agg(F.min("doc_id").alias("exam_id"), F.min("source").alias("source"))
 
 
-_STORED, _NEW = "exam_id % 3 < 2", "exam_id % 3 > 0"
+# Papers in store, and papers that come in: two ranges of sources that overlap.
+_STORED, _NEW = "source < 'src5'", "source > 'src11'"
 _P = "p AS (SELECT sha1(text) AS sha1, min(doc_id) AS exam_id, min(source) AS source FROM documents GROUP BY 1)"
 for _name, _force in (("upsert_skip", False), ("upsert_force", True)):
     _add(
         _name,
         lambda s, d, force=_force: maintenance.upsert(_papers(s, d).where(_STORED).withColumn("v", F.lit("old")), _papers(s, d).where(_NEW).withColumn("v", F.lit("new")), force).select("sha1", "exam_id", "v"),
-        f"WITH {_P} SELECT sha1, exam_id, CASE WHEN exam_id % 3 = 0 THEN 'old' WHEN exam_id % 3 = 2 THEN 'new' ELSE '{'new' if _force else 'old'}' END AS v FROM p",
+        f"WITH {_P} SELECT sha1, exam_id, CASE WHEN NOT {_NEW} THEN 'old' WHEN NOT {_STORED} THEN 'new' ELSE '{'new' if _force else 'old'}' END AS v FROM p WHERE {_STORED} OR {_NEW}",
     )
-_add("ingest_status", lambda s, d: maintenance.ingest_status(_papers(s, d).where(_STORED), _papers(s, d).where(_NEW)), f"WITH {_P} SELECT sha1, CASE WHEN exam_id % 3 = 1 THEN 'skipped' ELSE 'added' END AS status FROM p WHERE exam_id % 3 > 0")
+_add("ingest_status", lambda s, d: maintenance.ingest_status(_papers(s, d).where(_STORED), _papers(s, d)), f"WITH {_P} SELECT sha1, CASE WHEN {_STORED} THEN 'skipped' ELSE 'added' END AS status FROM p")
 
 
 def _shelf(s, d):
@@ -103,6 +112,9 @@ def _shelf(s, d):
 
 _S = "s AS (SELECT doc_id AS exam_id, '/p/' || doc_id % 50 AS path, 2015 + doc_id % 7 AS year, CASE WHEN doc_id % 4 > 0 THEN 'x' || doc_id % 4 END AS exam, lang AS subject, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 30 END AS n_questions, doc_id % 4 AS parser FROM documents)"
 _add("replace_scanned", lambda s, d: maintenance.superseded(_shelf(s, d)).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s a WHERE n_questions = 0 AND year IS NOT NULL AND subject IS NOT NULL AND EXISTS (SELECT 1 FROM s b WHERE b.n_questions > 0 AND b.exam_id <> a.exam_id AND b.year = a.year AND b.subject = a.subject AND b.exam IS NOT DISTINCT FROM a.exam)")
+_add("existing_files", lambda s, d: maintenance.present(_shelf(s, d), _shelf(s, d).where("subject in ('de', 'fr')").select("path")).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE path IN (SELECT path FROM s WHERE subject IN ('de', 'fr'))")
+_add("reparse_targets", lambda s, d: maintenance.targets(s.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("path")), "fr").select("page_id"), "SELECT page_id FROM pages WHERE list_contains(string_split(url, '/')[:-2], 'fr') OR starts_with(string_split(url, '/')[-1], 'fr')")
+_add("year_span", lambda s, d: s.createDataFrame([(page.year_span(v.exams_a(s, d)),)], "span string"), "WITH $A SELECT CASE WHEN min(year) = max(year) THEN min(year) || '' ELSE min(year) || '–' || max(year) END AS span FROM exams")
 _add("prune_missing", lambda s, d: maintenance.vanished(_shelf(s, d), _shelf(s, d).where("exam_id % 50 < 30").select("path").distinct()).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE exam_id % 50 >= 30 AND n_questions = 0")
 _add("stale_parser", lambda s, d: maintenance.stale(_shelf(s, d), 2).select("exam_id"), f"WITH {_S} SELECT exam_id FROM s WHERE parser < 2")
 
@@ -234,8 +246,7 @@ _add("column_bounds", lambda s, d: layout.column_bounds(layout.reading_order(_bl
 
 def _archived(s, d):
     exams = v.exams_a(s, d).withColumns({"sha1": F.sha1(F.col("exam_id").cast("string")), "filename": F.lit("f"), "path": F.lit("/f"), "parser": F.lit(2), "scanned_pages": F.lit("")})
-    line = archive.records(exams, v.segments_a(s, d)).select(F.to_json(F.struct("*")).alias("j"))
-    back = line.select(F.from_json("j", schemas.ARCHIVE).alias("r")).select("r.*")
+    back = archive.lines(exams, v.segments_a(s, d)).select(F.from_json("value", schemas.ARCHIVE).alias("r")).select("r.*")
     return archive.segments(back).join(archive.papers(back).select("sha1", "subject", "n_questions"), "sha1").select("sha1", "seg_no", "number", "subject", "n_questions", F.md5("text").alias("text_md5"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ for(const item of DATA.items)item.key=keyOf(item.text);
 for(const name of DATA.order)pick("s").append(new Option(`${name} (${DATA.counts[name]})`,name));
 function show(){const key=keyOf(pick("q").value),only=pick("s").value;
  const hits=key?DATA.items.filter(x=>(!only||x.subject===only)&&x.key.includes(key)):[];
- pick("n").textContent=hits.length;
+ pick("n").textContent=hits.length;  // the number of all hits; the first 200 are shown
  pick("out").replaceChildren(...hits.slice(0,200).map(x=>{const a=document.createElement("article"),h=document.createElement("strong");h.textContent=x.src+"\\n";a.append(h,x.text);
   for(const rows of x.tables||[]){const t=document.createElement("table");for(const r of rows){const tr=t.insertRow();for(const c of r)tr.insertCell().textContent=c}a.append(t)}return a}))}
 for(const id of ["q","s"])pick(id).addEventListener("input",show);
@@ -78,9 +79,16 @@ def _pieces(rows: DataFrame, facts: dict) -> Iterator[str]:
     yield "]}" + _TAIL
 
 
-def report(segments: DataFrame, exams: DataFrame, log: DataFrame | None = None) -> str:
-    """Markdown: what a run did, papers without a subject, coverage (─ is absent, 0 has no text), and totals."""
-    out = ["# Corpus report", ""]
+def year_span(exams: DataFrame) -> str:
+    """The years of the papers, as one or as first–last; empty if none is known."""
+    r = exams.where("year <> 0").agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
+    return "" if r["a"] is None else f"{r['a']}" if r["a"] == r["b"] else f"{r['a']}–{r['b']}"
+
+
+def report(segments: DataFrame, exams: DataFrame, log: DataFrame | None = None, now: datetime | None = None) -> str:
+    """Markdown with the time in Korea: what a run did, papers without a subject, coverage (─ is absent, 0 has no text), and totals."""
+    time = (now or datetime.now(UTC)).astimezone(timezone(timedelta(hours=9))).strftime("%Y-%m-%d %H:%M")
+    out = ["# Corpus report", "", f"{time} KST", ""]
     if log is not None:
         out += ["## This run", ""]
         for r in log.where("status != 'skipped'").orderBy("status", "filename").toLocalIterator():
@@ -103,4 +111,4 @@ def report(segments: DataFrame, exams: DataFrame, log: DataFrame | None = None)
         out += [f"| {r['year']} {r['exam']} | " + " | ".join("─" if r[c] is None else str(r[c]) for c in columns) + " |" for r in table] + [""]
     s = concordance.stats(segments, exams).first()
     out += ["## Totals", "", "| subject | papers | questions |", "|-|-:|-:|"] + [f"| {r['subject']} | {r['n_exams']} | {r['n_questions']} |" for r in rows]
-    return "\n".join([*out, "", f"{s['exams']} papers, {s['pages']} pages, {s['questions']} questions", ""])
+    return "\n".join([*out, "", f"{s['exams']} papers, {s['pages']} pages, {s['questions']} questions" + (f", {span}" if (span := year_span(exams)) else ""), ""])

@@ -1,28 +1,55 @@
-"""A stored corpus: numbered snapshots of papers and segments, written whole and read at the last complete one."""
+"""A stored corpus: a log of snapshots and changes, read up to the last complete one."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import schemas
 
 EXAMS, SEGMENTS = schemas.EXAMS, schemas.SEGMENTS.replace("exam_id long,", "exam_id long, seg_no int,")
+GONE = "exam_id long"
+#: Changes after which the next one is written as a whole snapshot, so a reader's plan stays short.
+MAX_CHANGES = 50
 
 
 class Store:
-    """Snapshots are ``v=N/segments`` and then ``v=N/exams``; one is complete when both have ``_SUCCESS``."""
+    """``v=N`` is a whole snapshot and ``d=N`` a change: its ``gone`` are papers whose earlier rows no longer count, its
+    ``segments`` and ``exams`` are new.  Exams are written last: an entry is complete when they have ``_SUCCESS``.
+
+    A change costs what it holds, not what the corpus holds.  Writers claim a number by creating its file, so two of
+    them never write one entry.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{name}"))
+
+    def _entries(self) -> list[tuple[int, str]]:
+        """(number, folder) of complete entries, in order."""
         if not self._fs.exists(self._path(self.path)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        found = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-        return [n for n in found if self._fs.exists(self._path(f"{self.path}/v={n}/exams/_SUCCESS"))]
+        found = sorted((int(n[2:]), n) for n in names if n[:2] in ("v=", "d=") and n[2:].isdigit())
+        return [(n, name) for n, name in found if self._there(f"{name}/exams/_SUCCESS")]
+
+    def _live(self) -> list[str]:
+        """The last snapshot and the changes after it."""
+        names = [name for _, name in self._entries()]
+        last = max((i for i, name in enumerate(names) if name.startswith("v=")), default=0)
+        return names[last:]
+
+    def _claim(self) -> int:
+        n = max((n for n, _ in self._entries()), default=-1) + 1
+        while not self._fs.createNewFile(self._path(f"{self.path}/claims/{n}")):
+            n += 1
+        return n
 
     def check(self) -> None:
         """A corpus of another layout is refused, never changed."""
@@ -35,29 +62,54 @@ class Store:
     def read(self) -> tuple[DataFrame, DataFrame]:
         """(exams, segments); both are empty before the first write."""
         self.check()
-        done = self._versions()
-        if not done:
+        live = self._live()
+        if not live:
             return self.spark.createDataFrame([], EXAMS), self.spark.createDataFrame([], SEGMENTS)
-        at = f"{self.path}/v={done[-1]}"
-        return self.spark.read.schema(EXAMS).parquet(f"{at}/exams"), self.spark.read.schema(SEGMENTS).parquet(f"{at}/segments")
+        part = lambda name, table, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{table}").withColumn("_v", F.lit(int(name[2:])))
+        gone = [part(name, "gone", GONE) for name in live if self._there(f"{name}/gone")]
 
-    def write(self, exams: DataFrame, segments: DataFrame, keep: int = 2) -> int:
-        """A new snapshot; older ones than the last ``keep`` are removed, so running readers keep theirs."""
+        def table(name: str, schema: str) -> DataFrame:
+            rows = reduce(DataFrame.unionByName, [part(x, name, schema) for x in live])
+            if gone:
+                since = reduce(DataFrame.unionByName, gone).groupBy("exam_id").agg(F.max("_v").alias("_since"))
+                rows = rows.join(since, "exam_id", "left").where("_since is null or _v >= _since").select(*rows.columns)
+            return rows.drop("_v")
+
+        return table("exams", EXAMS), table("segments", SEGMENTS)
+
+    def _put(self, folder: str, exams: DataFrame, segments: DataFrame, gone: DataFrame | None = None) -> None:
+        fit = lambda df, schema: df.select(*[f.split(" ")[0] for f in _fields(schema)])
+        if gone is not None:
+            gone.select("exam_id").write.mode("overwrite").parquet(f"{self.path}/{folder}/gone")
+        fit(segments, SEGMENTS).write.mode("overwrite").parquet(f"{self.path}/{folder}/segments")
+        fit(exams, EXAMS).write.mode("overwrite").parquet(f"{self.path}/{folder}/exams")
+
+    def _begin(self) -> int:
         self.check()
-        done = self._versions()
-        n = done[-1] + 1 if done else 0
-        if not done:
+        if not self._there("layout"):
             self.spark.createDataFrame([(str(schemas.SCHEMA_VERSION),)], "v string").write.mode("overwrite").text(f"{self.path}/layout")
-        fit = lambda df, schema: df.select(*[f.split(" ")[0] for f in _fields(schema)])
-        fit(segments, SEGMENTS).write.mode("overwrite").parquet(f"{self.path}/v={n}/segments")
-        fit(exams, EXAMS).write.mode("overwrite").parquet(f"{self.path}/v={n}/exams")
-        for old in (done + [n])[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/v={old}"), True)
+        return self._claim()
+
+    def append(self, exams: DataFrame, segments: DataFrame, gone: DataFrame | None = None) -> int:
+        """New papers and their segments; ``gone`` (exam_id) are papers that are deleted, or replaced by these."""
+        n = self._begin()
+        self._put(f"d={n}" if self._live() else f"v={n}", exams, segments, gone if self._live() else None)
+        if len(self._live()) > MAX_CHANGES:
+            self.compact()
+        return n
+
+    def write(self, exams: DataFrame, segments: DataFrame, keep: int = 2) -> int:
+        """A whole snapshot; what came before the last ``keep`` snapshots is removed, so running readers keep theirs."""
+        n = self._begin()
+        self._put(f"v={n}", exams, segments)
+        whole = [k for k, name in self._entries() if name.startswith("v=")]
+        for k, name in self._entries():
+            if len(whole) >= keep and k < whole[-keep]:
+                self._fs.delete(self._path(f"{self.path}/{name}"), True)
         return n
 
     def size(self) -> int:
-        done = self._versions()
-        return self._fs.getContentSummary(self._path(f"{self.path}/v={done[-1]}")).getLength() if done else 0
+        return sum(self._fs.getContentSummary(self._path(f"{self.path}/{name}")).getLength() for name in self._live())
 
     def compact(self, file_bytes: int = 128 << 20) -> tuple[int, int]:
         """Rewrites the corpus in files of about ``file_bytes``; (bytes before, bytes after)."""

@@ -1,42 +1,60 @@
-"""Watched folders: new archive files become upserts, one atomic snapshot for each micro-batch."""
+"""Watched folders: what arrives is added to the stored corpus that searches read, one change for each micro-batch."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import maintenance
+from ..operators import ingest
 from ..plans import schemas
+from ..sources import archive
+from ..sources.store import Store
 
+Reader = Callable[[bytes], Iterable[tuple]]
 
-def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, once: bool = True, interval: str = "5 seconds") -> StreamingQuery:
-    """Follow a folder of archive files; papers known by sha1 are skipped, across restarts too.
 
-    Snapshots are ``store/v=N``; readers take the last complete one.  The checkpoint holds which files were seen.
-    """
-    stream = spark.readStream.schema(schemas.ARCHIVE).json(folder)
+def read_files(files: DataFrame, exams: DataFrame, reader: Reader, force: bool = False, overrides: dict | None = None) -> ingest.Batch:
+    """Papers of files(path, filename, sha1, content) by a reader of one file's bytes; known ones are not read unless forced."""
+    todo = files if force else ingest.fresh(files, exams)
+    one = todo.groupBy("sha1").agg(F.first("content").alias("content"))
+    blocks = ingest.decode(one, reader).persist(StorageLevel.DISK_ONLY)  # read for several steps, decoded once
+    return ingest.ingest(todo.drop("content"), blocks, overrides=overrides)
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        rows = batch.where("sha1 is not null")
-        before = snapshot(spark, store, number - 1)
-        out = rows.dropDuplicates(["sha1"]) if before is None else maintenance.upsert(before, rows)
-        out.write.mode("overwrite").parquet(f"{store}/v={number}")
 
-    writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+def apply(store: Store, exams: DataFrame, batch: ingest.Batch, force: bool = False) -> list:
+    """Adds a batch to the store; the log, a short row for each file of the batch."""
+    done = ingest.change(exams, batch, force)
+    log = done.log.select("status", "filename", "n_questions", "error").orderBy("status", "filename").collect()
+    if any(r["status"] in ("added", "replaced") for r in log):
+        store.append(done.exams, done.segments, done.gone)
+    return log
 
 
-def snapshot(spark: SparkSession, store: str, number: int | None = None) -> DataFrame | None:
-    """The snapshot of a batch, or the last complete one; None before the first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [n for n in done if number is None or n <= number]
-    return spark.read.schema(schemas.ARCHIVE).parquet(f"{store}/v={done[-1]}") if done else None
+def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, reader: Reader | None = None, once: bool = True, interval: str = "5 seconds", told: Callable[[list], None] | None = None) -> StreamingQuery:
+    """Follow a folder: of papers, with a reader of one file's bytes, or else of archives.
+
+    Papers known by their content are skipped, across restarts too, so a micro-batch that runs again changes nothing.  A file that
+    the reader fails on is logged and fails nothing else.  The checkpoint holds which files were seen; files should be moved
+    in whole, and a changed file needs a new path.  ``told`` gets each micro-batch's log.
+    """
+    if reader:
+        stream = spark.readStream.format("binaryFile").schema(archive.FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", archive.PAPERS).load(folder)
+    else:
+        stream = spark.readStream.schema(schemas.ARCHIVE).json(folder)
+
+    def arrived(rows: DataFrame, number: int) -> None:
+        exams, _ = store.read()
+        batch = read_files(archive.hashed(rows), exams, reader) if reader else archive.batch(rows.where("sha1 is not null"))
+        log = apply(store, exams, batch)
+        if told:
+            told(log)
+
+    writer = stream.writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
 def status_tallies(log: DataFrame) -> DataFrame:
