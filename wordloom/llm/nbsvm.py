@@ -23,7 +23,7 @@ from . import common, kernels
 from .kernels import U64
 
 BITS = 18
-MAX_ROWS, MAX_BYTES = 20_000, 128 << 20
+MAX_ROWS, MAX_BYTES = 20_000, 24 << 20
 EPOCHS, COST, ALPHA = 8, 1.0, 1.0
 
 
