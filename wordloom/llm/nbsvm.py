@@ -56,17 +56,19 @@ def features(text, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     code, off = shape_tokens(text)
     n_docs, n = len(off) - 1, len(code)
     doc = np.repeat(np.arange(n_docs), np.diff(off))
-    keys = []
+    keys, kind_of = [], np.uint32 if n_docs << bits <= 1 << 32 else U64  # narrow keys sort faster
+    owner = doc.astype(kind_of) << kind_of(bits)
     for kind, tokens in enumerate((code, kernels.Words(text, lower=True).hash)):
         h = np.zeros(n, U64)
         for k in range(min(3, n)):
             h = h[: n - k] * U64(0x100000001B3) + tokens[k:]
             inside = np.arange(n - k) + k < off[1:][doc[: n - k]]
             x = kernels.mix(h, 20 + k + 10 * kind) >> U64(64 - bits)
-            keys.append(((doc[: n - k].astype(U64) << U64(bits)) | x)[inside])
-    flat = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
-    owner = (flat >> U64(bits)).astype(np.int64)
-    return (flat & U64((1 << bits) - 1)).astype(np.int32), np.searchsorted(owner, np.arange(n_docs + 1))
+            keys.append((owner[: n - k] | x.astype(kind_of))[inside])
+    flat = np.sort(np.concatenate(keys)) if keys else np.zeros(0, kind_of)
+    flat = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
+    cuts = np.searchsorted(flat >> kind_of(bits), np.arange(n_docs + 1).astype(kind_of))
+    return (flat & kind_of((1 << bits) - 1)).astype(np.int32), cuts
 
 
 class Model:
