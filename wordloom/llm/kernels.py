@@ -193,7 +193,8 @@ class Lookup:
     """Membership of 64-bit keys in a set: a bitmap on the low bits first, then binary search."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
+        keys = np.sort(keys)
+        self.keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
         self.bits = max(10, min(24, int(np.ceil(np.log2(max(len(self.keys), 1)))) + 4))
         self.map = np.zeros(1 << self.bits, bool)
         self.map[self._slot(self.keys)] = True
