@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hostrules, langid, licenses, linetemplates, nbsvm, neardup, packing, substring, unigram
+from . import decontam, hostrules, langid, licenses, linetemplates, mixing, nbsvm, neardup, packing, substring, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": lambda s, d: neardup.op8_minhash_near_dedup(table(s, d, "documents")),
     "op9_quality_classifier": lambda s, d: nbsvm.op9_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
     "op10_benchmark_decontamination": lambda s, d: decontam.op10_benchmark_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op11_source_mixing": lambda s, d: mixing.op11_source_mixing(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op6_host_quality_rules": hostrules.OP6_SQL,
     "op8_minhash_near_dedup": neardup.OP8_SQL,
     "op10_benchmark_decontamination": decontam.OP10_SQL,
+    "op11_source_mixing": mixing.OP11_SQL,
 }
