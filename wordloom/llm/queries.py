@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hostrules, langid, licenses, linetemplates, mixing, nbsvm, neardup, packing, substring, unigram
+from . import decontam, hostrules, langid, licenses, linetemplates, mixing, nbsvm, neardup, packing, phrases, substring, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_classifier": lambda s, d: nbsvm.op9_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
     "op10_benchmark_decontamination": lambda s, d: decontam.op10_benchmark_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op11_source_mixing": lambda s, d: mixing.op11_source_mixing(table(s, d, "documents")),
+    "op12_phrase_collocations": lambda s, d: phrases.op12_phrase_collocations(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op8_minhash_near_dedup": neardup.OP8_SQL,
     "op10_benchmark_decontamination": decontam.OP10_SQL,
     "op11_source_mixing": mixing.OP11_SQL,
+    "op12_phrase_collocations": phrases.OP12_SQL,
 }
