@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hostrules, langid, licenses, linetemplates, mixing, nbsvm, neardup, packing, phrases, substring, unigram
+from . import decontam, hostrules, langid, licenses, linetemplates, mixing, nbsvm, neardup, negatives, packing, phrases, substring, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op10_benchmark_decontamination": lambda s, d: decontam.op10_benchmark_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op11_source_mixing": lambda s, d: mixing.op11_source_mixing(table(s, d, "documents")),
     "op12_phrase_collocations": lambda s, d: phrases.op12_phrase_collocations(table(s, d, "documents")),
+    "op13_hard_negatives": lambda s, d: negatives.op13_hard_negatives(table(s, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op10_benchmark_decontamination": decontam.OP10_SQL,
     "op11_source_mixing": mixing.OP11_SQL,
     "op12_phrase_collocations": phrases.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
