@@ -83,18 +83,17 @@ def _table(df) -> int:
 
 
 def search(spark, store, a) -> int:
-    exams, segments = store.read()
-    hits = concordance.search(segments, exams, a.query, a.limit, a.width, **_filters(a))
+    exams, segments = store.narrowed(a.query, **_filters(a))
     if not a.json:
-        return _table(hits.select("segment_id", "source", "page", "matches", "snippet"))
-    more = concordance.matches(segments, exams, a.query, **_filters(a)).orderBy(*concordance.hit_order()).limit(a.limit)
-    rows = more.select("segment_id", "source", "subject", "year", "page", F.col("filename").alias("file"), F.col("surface").alias("matches"), text.snippet(F.col("text"), a.query, a.width).alias("snippet")).collect()
+        return _table(concordance.search(segments, exams, a.query, a.limit, a.width, **_filters(a)).select("segment_id", "source", "page", "matches", "snippet"))
+    first = concordance.hits(segments, exams, a.query, **_filters(a)).orderBy(*concordance.hit_order()).limit(a.limit)
+    rows = first.select("segment_id", "source", "subject", "year", "page", F.col("filename").alias("file"), text.surface_forms("text", a.query).alias("matches"), text.snippet(F.col("text"), a.query, a.width).alias("snippet")).collect()
     print(json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2))
     return 0
 
 
 def variants(spark, store, a) -> int:
-    exams, segments = store.read()
+    exams, segments = store.narrowed(a.query, **_filters(a))
     hits = concordance.matches(segments, exams, a.query, **_filters(a))
     forms = concordance.with_share(concordance.variants(hits)).select("form", "n", F.concat(F.col("percent").cast("string"), F.lit("%")), F.array_join("sources", "; "))
     code = _table(forms.orderBy(F.desc("n"), "form"))
@@ -103,7 +102,7 @@ def variants(spark, store, a) -> int:
 
 
 def compare(spark, store, a) -> int:
-    exams, segments = store.read()
+    exams, segments = store.narrowed(**_filters(a))
     rows = concordance.with_dominant(concordance.compare(segments, exams, a.queries, **_filters(a)))
     _table(rows.orderBy(F.desc("total"), "ord").drop("ord"))
     return 0 if rows.where("total > 0").head() else 1

@@ -21,8 +21,9 @@ def corpus(segments: DataFrame, exams: DataFrame) -> DataFrame:
     return segments.join(exams, "exam_id")
 
 
-def predicates(subject: str | None = None, year: int | None = None, exam: str | None = None, kinds: tuple[str, ...] = KINDS) -> Column:
-    found = [F.col("kind").isin(*kinds)]
+def paper_predicates(subject: str | None = None, year: int | None = None, exam: str | None = None) -> Column:
+    """What the filters ask of a paper."""
+    found = [F.lit(True)]
     if subject:
         found.append(F.col("subject").isin(*meta.subject_aliases(subject)))
     if year:
@@ -32,6 +33,10 @@ def predicates(subject: str | None = None, year: int | None = None, exam: str |
     return reduce(Column.__and__, found)
 
 
+def predicates(subject: str | None = None, year: int | None = None, exam: str | None = None, kinds: tuple[str, ...] = KINDS) -> Column:
+    return F.col("kind").isin(*kinds) & paper_predicates(subject, year, exam)
+
+
 def hits(segments: DataFrame, exams: DataFrame, query: str, **filters) -> DataFrame:
     """Segments that hold the wording, with their papers and a source label."""
     label = meta.segment_label(F.col("kind"), F.col("part"), F.col("number"), F.col("number_end"))
