@@ -55,6 +55,10 @@ def parser() -> argparse.ArgumentParser:
     command("import", "path").add_argument("--force", action="store_true")
     command("export", "path")
     command("html", "path", filters=True).add_argument("--max-mb", type=float, default=page.MAX_MB)
+    c = command("maintain", "folder")
+    c.add_argument("--reader", required=True)
+    c.add_argument("--target")
+    c.add_argument("--prune", action="store_true", help="papers with questions go too where their file is gone")
     c = command("watch", "folder")
     c.add_argument("--reader")
     c.add_argument("--once", action="store_true")
@@ -185,8 +189,12 @@ def follow(spark, store, a) -> int:
     return 0
 
 
+def maintain(spark, store, a) -> int:
+    return _told(watch.maintain(store, archive.pdf_files(spark, a.folder), _reader(a.reader), a.target, a.prune))
+
+
 COMMANDS = {
-    "search": search, "variants": variants, "compare": compare, "show": show, "stats": stats, "ingest": ingest_papers, "import": import_archive, "export": export, "html": html, "report": report, "watch": follow,
+    "search": search, "variants": variants, "compare": compare, "show": show, "stats": stats, "ingest": ingest_papers, "import": import_archive, "export": export, "html": html, "report": report, "watch": follow, "maintain": maintain,
     "subjects": lambda spark, store, a: _table(concordance.subjects(store.read()[0]).orderBy(F.desc("n_exams"), "subject")),
     "coverage": lambda spark, store, a: _table(concordance.coverage(store.read()[0]).orderBy(F.desc("year"), "exam", "subject")),
     "compact": lambda spark, store, a: print("%d -> %d bytes" % store.compact()) or 0,

@@ -30,6 +30,8 @@ class Batch:
     exams: DataFrame
     segments: DataFrame
     log: DataFrame
+    #: Lets go of what is held for the batch.
+    release: Callable[[], object] = lambda: None
 
 
 def decode(files: DataFrame, reader: Callable[[bytes], Iterable[tuple]]) -> DataFrame:

@@ -207,6 +207,12 @@ class Store:
         self._drop(draft)
         return {"id": part, "kind": kind, "gone": gone is not None}
 
+    def hold(self, rows: DataFrame) -> DataFrame:
+        """Rows written once, below the store, to be read for several steps; ``vacuum`` removes them when they are old."""
+        at = f"{self.path}/draft/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
     def _drop(self, *paths: str) -> None:
         for p in paths:
             self._fs.delete(self._path(p), True)
