@@ -17,7 +17,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

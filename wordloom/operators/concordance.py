@@ -84,8 +84,11 @@ def variants(hits: DataFrame) -> DataFrame:
 
 
 def with_share(forms: DataFrame) -> DataFrame:
-    """Forms with the share of each in all, in per cent; one row of totals is joined."""
-    return forms.join(forms.agg(F.sum("n").alias("_all")), F.lit(True)).withColumn("percent", F.round(100 * F.col("n") / F.col("_all"), 0).cast("int")).drop("_all")
+    """Forms with the total and the share of each in per cent by the three rules in use: to the nearest, ties to even; down; ties up."""
+    whole = F.col("n") * 100
+    shares = {"percent": F.bround(whole / F.col("total"), 0), "percent_down": F.floor(whole / F.col("total")), "percent_up": F.floor(whole / F.col("total") + 0.5)}
+    every = forms.join(forms.agg(F.sum("n").alias("total")), F.lit(True))  # one row on the right
+    return every.withColumns({k: v.cast("int") for k, v in shares.items()})
 
 
 def occurrence_totals(hits: DataFrame) -> DataFrame:

@@ -36,8 +36,9 @@ def segments_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.col("conv_id").alias("exam_id"), kind.alias("kind"), number.alias("number"), number.alias("number_end"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("part"), "text")
 
 
+KEY_SQL = """translate(text, '‐‑‒–—―−‘’“”～〜 ' || chr(10) || chr(65532), '-------''''""~~')"""
 SQL = f"""c AS (SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) AS n FROM documents),
 ex AS (SELECT *, CAST(n * 676 + (ascii(lang[1]) - 97) * 26 + ascii(lang[2]) - 97 AS BIGINT) AS exam_id, lang AS subject, 2015 + n % 12 AS year, list_extract({list(EXAM_NAMES)}, n % 5 + 1) AS exam, CAST(doc_id % 45 + 1 AS INT) AS number, doc_id AS segment_id,
   (2015 + n % 12) || '학년도 ' || CASE WHEN n % 5 > 2 THEN '고3 ' ELSE '' END || list_extract({list(EXAM_NAMES)}, n % 5 + 1) || ' · ' || lang || ' · ' || (doc_id % 45 + 1) || '번' AS source_label,
-  translate(text, '‐‑‒–—―−‘’“”～〜 ' || chr(10) || chr(65532), '-------''''""~~') AS key FROM c),
+  {KEY_SQL} AS key FROM c),
 exams AS (SELECT exam_id, subject, year, exam, count(*) AS n_questions FROM ex GROUP BY ALL)"""

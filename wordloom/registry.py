@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import meta, text
 from .operators import concordance as c
-from .operators import layout, maintenance, segmenting
+from .operators import layout, maintenance, pageboxes, segmenting, wordings
 from .plans import schemas
 from .plans import views as v
 from .sources import archive, page
@@ -52,7 +52,7 @@ def _variants_sql(q: str) -> str:
 
 
 _add("variants", lambda s, d: c.variants(_hits(s, d, "of the")).select("form", "n"), _variants_sql("ofthe"))
-_add("variants_share", lambda s, d: c.with_share(c.variants(_hits(s, d, "the and"))).select("form", "n", "percent"), "WITH f AS (" + _variants_sql("theand").replace("WITH $A, f AS", "WITH $A, f AS") + ") SELECT form, n, CAST(round(100 * n / sum(n) OVER ()) AS INT) AS percent FROM f")
+_add("variants_share", lambda s, d: c.with_share(c.variants(_hits(s, d, "the and"))).select("form", "n", "total", "percent", "percent_down", "percent_up"), "WITH f AS (" + _variants_sql("theand").replace("WITH $A, f AS", "WITH $A, f AS") + "), t AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total FROM f) SELECT form, n, total, CAST(round_even(100 * n / total, 0) AS INT) AS percent, CAST(100 * n // total AS INT) AS percent_down, CAST((200 * n + total) // (2 * total) AS INT) AS percent_up FROM t")
 _add("variants_ambiguous", lambda s, d: c.occurrence_totals(_hits(s, d, "e.Th")), f"WITH $A, f AS (SELECT segment_id, regexp_extract_all(text, '{_forms('e.Th')}') AS s FROM ex WHERE contains(key, 'e.Th')) SELECT CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(s)) AS BIGINT) AS occurrences, CAST(sum(len(list_filter(s, lambda x: NOT contains(x, chr(10))))) AS BIGINT) AS decided, CAST(sum(len(list_filter(s, lambda x: contains(x, chr(10))))) AS BIGINT) AS undecided FROM f")
 _add(
     "variants_sources",
@@ -61,6 +61,40 @@ _add(
 )
 _add("surface_forms", lambda s, d: _hits(s, d, "ofthe").select("segment_id", F.array_join("surface", "|").alias("surface")), f"WITH $A SELECT segment_id, array_to_string(regexp_extract_all(text, '{_forms('ofthe')}'), '|') AS surface FROM ex WHERE contains(key, 'ofthe')")
 
+def _asked(s, d):
+    """Wordings from a table: every benchmark item's text."""
+    return s.read.parquet(f"{d}/benchmark.parquet").where("item_id is not null").select(F.col("item_id").cast("long").alias("qid"), F.col("text").alias("query"))
+
+
+_add(
+    "compare_table",
+    lambda s, d: wordings.compare_table(v.segments_a(s, d), v.exams_a(s, d), _asked(s, d)).select("qid", "hits", (F.col("total") + F.col("undecided")).alias("occurrences")),
+    f"WITH $A, q AS (SELECT CAST(item_id AS BIGINT) AS qid, {v.KEY_SQL} AS q FROM benchmark WHERE item_id IS NOT NULL),"
+    " h AS (SELECT qid, len(list_filter(range(1, length(key) - length(q) + 2), lambda i: substr(key, i, length(q)) = q)) AS n FROM q JOIN ex ON contains(key, q) AND q <> '') SELECT q.qid, CAST(count(h.n) AS BIGINT) AS hits, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS occurrences FROM q LEFT JOIN h ON q.qid = h.qid GROUP BY q.qid",
+)
+
+_BOXED = "the"
+
+
+def _characters(s, d):
+    """Characters of conversations on a page of their own: 6 wide and 10 high, lines 12 apart."""
+    lines = s.read.parquet(f"{d}/conversations.parquet").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    chars = lines.select("page_id", "line", F.posexplode(F.split("t", "")).alias("col", "ch")).where("ch <> ''")
+    return chars.select("page_id", (F.col("line") * 100000 + F.col("col")).alias("pos"), "ch", (F.col("col") * 6.0).alias("x"), (F.col("line") * 12.0).alias("y"), F.lit(6.0).alias("w"), F.lit(10.0).alias("h"))
+
+
+_add(
+    "page_boxes",
+    lambda s, d: pageboxes.boxes(_characters(s, d), _BOXED).select("page_id", "occurrence", "run", *[F.col(x).cast("int").alias(x) for x in ("x", "y", "w", "h")]),
+    f"""WITH p AS (SELECT conv_id * 1000 + turn AS page_id, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+l AS (SELECT page_id, string_split(text, chr(10)) AS ls FROM p), m AS (SELECT page_id, j, ls[j] AS t FROM l, unnest(range(1, len(ls) + 1)) AS x(j)),
+c AS (SELECT page_id, j, i, t[i] AS ch FROM m, unnest(range(1, length(t) + 1)) AS x(i) WHERE t[i] NOT IN (' ', chr(9))),
+k AS (SELECT *, row_number() OVER w AS n, ch || coalesce(lead(ch) OVER w, '') || coalesce(lead(ch, 2) OVER w, '') AS s FROM c WINDOW w AS (PARTITION BY page_id ORDER BY j, i)),
+o AS (SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS o FROM k WHERE s = '{_BOXED}'),
+r AS (SELECT o.page_id, o, j, min(i) AS a, max(i) AS b FROM o JOIN k ON k.page_id = o.page_id AND k.n BETWEEN o.n AND o.n + 2 GROUP BY ALL)
+SELECT page_id, CAST(o AS INT) AS occurrence, CAST(row_number() OVER (PARTITION BY page_id, o ORDER BY j) - 1 AS INT) AS run, CAST((a - 1) * 6 AS INT) AS x, CAST((j - 1) * 12 AS INT) AS y, CAST((b - a + 1) * 6 AS INT) AS w, 10 AS h FROM r""",
+)
+
 _WORDINGS = ["of the", "the and", "is and"]
 _add(
     "compare",
