@@ -93,6 +93,15 @@ def test_containment(spark, limit, monkeypatch):
     assert index.agg(F.max(F.size("refs"))).first()[0] < 100
 
 
+def test_short_references_and_texts_with_very_many(spark):
+    """A reference of three or four words is one shingle; a text may hold thousands of references."""
+    docs = [(1, "So what is two plus two? Four."), (2, "what is two"), (3, " ".join(f"q{i} a b c d e" for i in range(3000)))]
+    refs = [(-1, "is two plus two"), (-2, "two plus"), (-3, "What is two"), (-4, "")] + [(i, f"q{i} a b c d") for i in range(3000)]
+    for limit in (0, 200_000):
+        got = {tuple(x) for x in containment.search(frame(spark, docs), frame(spark, refs, "item_id long, text string"), "item_id", max_broadcast=limit).select("doc_id", "ref").collect()}
+        assert got == {(1, -1), (1, -3), (2, -3)} | {(3, i) for i in range(3000)}
+
+
 def test_containment_on_tables(spark, documents, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {tuple(x) for x in containment.search(documents, bench, "item_id", max_broadcast=0).select("doc_id", "ref").collect()}

@@ -1,6 +1,6 @@
 """License scans: licence notices found inside documents by MinHash bands over overlapping text windows, exact containment after.
 
-Every stage is a DataFrame function; see containment.py for windows, bands and their collision guarantee, and for repeated rows.
+Every stage is a DataFrame function; see containment.py for windows, bands and their collision guarantee, and for repeated rows and short notices.
 """
 
 from __future__ import annotations
@@ -58,10 +58,10 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[!-/:-@\
 OP3_SQL = (
     "WITH t(template_id, license, text) AS (VALUES " + ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(TEMPLATES)) + f"),\n"
     f"tw AS (SELECT template_id, license, {_WORDS.format('text')} AS w FROM t),\n"
-    "ts AS (SELECT DISTINCT template_id, license, array_to_string(w[i:i + 4], ' ') AS s FROM tw, unnest(range(1, len(w) - 3)) AS r(i)),\n"
+    "ts AS (SELECT DISTINCT template_id, license, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s FROM tw, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) >= 3),\n"
     "tn AS (SELECT template_id, license, count(*) AS n FROM ts GROUP BY ALL),\n"
     f"dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),\n"
-    "ds AS (SELECT DISTINCT dw.r, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) AS x(i)),\n"
+    "ds AS (SELECT DISTINCT dw.r, doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM dw, (SELECT DISTINCT least(5, len(w)) AS k FROM tw WHERE len(w) >= 3), unnest(range(1, len(w) - k + 2)) AS x(i)),\n"
     "m AS (SELECT r, doc_id, template_id, count(*) AS c FROM ds JOIN ts USING (s) GROUP BY ALL)\n"
     "SELECT doc_id, license, CAST(template_id AS INTEGER) AS template_id, CAST(max(c) AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_shingles FROM m JOIN tn USING (template_id) WHERE c >= 0.8 * n GROUP BY ALL"
 )
