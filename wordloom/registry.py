@@ -294,3 +294,47 @@ def _grids(s, d):
 
 
 _add("accepted_tables", _grids, "SELECT n AS table_no, r AS n_rows, k AS n_cols FROM (VALUES " + ", ".join(f"({n}, {r}, {k})" for n, _, r, k in _GRID) + ") t(n, r, k) WHERE r > 0")
+
+
+def _subject_names(s, d):
+    """Names of subjects made of a stem by the host's number, a level by the language, and all of a text."""
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    level = F.when(F.col("lang") == "en", "Ⅰ").when(F.col("lang") == "de", "2").when(F.col("lang") == "fr", " Ⅱ").otherwise("1")
+    stem = F.get(F.array(*map(F.lit, meta.STEMS)), n % len(meta.STEMS))
+    return v.documents(s, d).select("doc_id", F.concat(F.lit(" ["), stem, level, F.lit("] · 영역")).alias("name"), F.concat(F.lit("("), stem, F.lit(" "), F.col("text"), level, F.lit(")과목")).alias("long"))
+
+
+def _canon_sql(name: str) -> str:
+    """The rules one after another: Roman signs, blanks, outer brackets, dots, area words, levels."""
+    for sign, letters in meta.ROMAN.items():
+        name = f"replace({name}, '{sign}', '{letters}')"
+    name = f"regexp_replace(regexp_replace(nfc_normalize({name}), '[ \\t\\n\\x0B\\f\\r\\x{{A0}}\\x{{3000}}]+', '', 'g'), '^[()\\[\\]<>]+|[()\\[\\]<>]+$', '', 'g')"
+    name = f"regexp_replace(regexp_replace({name}, '[·‧・･.．]', '', 'g'), '영역|과목', '', 'g')"
+    for digit, letters in (("1", "I"), ("2", "II")):
+        name = f"regexp_replace({name}, '^({'|'.join(meta.STEMS)}){digit}$', '\\1{letters}')"
+    return f"nullif({name}, '')"
+
+
+_add(
+    "canon_subject_documents",
+    lambda s, d: _subject_names(s, d).select("doc_id", meta.canon_subject(F.col("name")).alias("subject"), F.md5(meta.canon_subject(F.col("long")).cast("binary")).alias("long_md5")),
+    f"WITH n AS (SELECT doc_id, text, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % {len(meta.STEMS)} AS k, CASE lang WHEN 'en' THEN 'Ⅰ' WHEN 'de' THEN '2' WHEN 'fr' THEN ' Ⅱ' ELSE '1' END AS level FROM documents), s AS (SELECT *, list_extract({list(meta.STEMS)}, k + 1) AS stem FROM n) "
+    f"SELECT doc_id, {_canon_sql(chr(39) + ' [' + chr(39) + ' || stem || level || ' + chr(39) + '] · 영역' + chr(39))} AS subject, md5({_canon_sql(chr(39) + '(' + chr(39) + ' || stem || ' + chr(39) + ' ' + chr(39) + ' || text || level || ' + chr(39) + ')과목' + chr(39))}) AS long_md5 FROM s",
+)
+
+
+def _covers(s, d):
+    """Covers made of the host's number, a sitting by the language, and all of a text."""
+    n = F.regexp_extract("source", r"(\d+)$", 1)
+    sitting = F.when(F.col("lang") == "en", "전국연합학력평가").when(F.col("lang") == "de", "모의평가").when(F.col("lang") == "fr", "대학수학능력시험").otherwise("시험")
+    month = F.when(n.cast("int") % 3 > 0, F.concat(n, F.lit(" 월 "))).otherwise("")
+    return v.documents(s, d).select("doc_id", F.concat(F.lit("20"), F.lpad(n, 2, "0"), F.lit("학년도 "), month, sitting, F.lit("\n"), F.col("text")).alias("cover"))
+
+
+_add(
+    "detect_exam_documents",
+    lambda s, d: _covers(s, d).select("doc_id", meta.from_cover(F.col("cover")).alias("m")).select("doc_id", "m.year", "m.exam"),
+    "WITH n AS (SELECT doc_id, text, lang, regexp_extract(source, '(\\d+)$', 1) AS n FROM documents), c AS (SELECT doc_id, '20' || lpad(n, 2, '0') || '학년도 ' || CASE WHEN n::INT % 3 > 0 THEN n || ' 월 ' ELSE '' END || CASE lang WHEN 'en' THEN '전국연합학력평가' WHEN 'de' THEN '모의평가' WHEN 'fr' THEN '대학수학능력시험' ELSE '시험' END || chr(10) || text AS t FROM n),"
+    " m AS (SELECT *, CAST(nullif(regexp_extract(t, '(\\d{1,2})\\s*월', 1), '') AS INT) AS month FROM c)"
+    " SELECT doc_id, CAST(nullif(regexp_extract(t, '((?:19|20)\\d{2})\\s*학년도', 1), '') AS INT) AS year, CASE WHEN contains(t, '학력평가') THEN coalesce(month || '월 학평', '학력평가') WHEN contains(t, '모의평가') THEN coalesce(month || '월 모평', '모의평가') WHEN contains(t, '대학수학능력시험') OR contains(t, '수능') THEN '수능' END AS exam FROM m",
+)
