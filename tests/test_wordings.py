@@ -83,3 +83,9 @@ def test_subjects_of_covers_with_a_period(spark):
 def test_percentages_by_three_rules(spark):
     got = concordance.with_share(spark.createDataFrame([("a", 1), ("b", 7), ("c", 32)], "form string, n long")).orderBy("form").collect()
     assert [(r.total, r.percent, r.percent_down, r.percent_up) for r in got] == [(40, 2, 2, 3), (40, 18, 17, 18), (40, 80, 80, 80)]
+
+
+def test_images(spark):
+    rows = spark.createDataFrame([(1, "/a", [1]), (2, "/a", None), (3, "/b", [1]), (4, "/a", []), (5, None, [1])], "segment_id int, path string, rects array<int>")
+    files = spark.createDataFrame([("/a",), ("/a",), ("/c",)], "path string")
+    assert {r.segment_id for r in concordance.with_image(rows, files).where("has_image").collect()} == {1, 4}

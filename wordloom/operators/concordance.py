@@ -150,6 +150,12 @@ def multi_term(segments: DataFrame, exams: DataFrame, line: str, **filters) -> D
     return out.select("segment_id", F.size(F.filter(counts, lambda n: n > 0)).cast("long").alias("n_terms"), F.aggregate(counts, F.lit(0), lambda a, n: a + n).cast("long").alias("occurrences"))
 
 
+def with_image(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (path, rects) with has_image: there are places on the page, if none in number, and the file is still there."""
+    there = files.select("path").distinct().withColumn("_there", F.lit(True))
+    return rows.join(there, "path", "left").withColumn("has_image", F.col("rects").isNotNull() & F.col("_there").isNotNull()).drop("_there")
+
+
 def show(segments: DataFrame, exams: DataFrame, segment_id: int) -> DataFrame:
     return corpus(segments.where(F.col("segment_id") == segment_id), exams)
 
