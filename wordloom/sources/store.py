@@ -175,7 +175,7 @@ class Store:
             files = theirs if files is None else files & theirs
         _, segments = self.read(state, files)
         if ids is not None:
-            segments = segments.where(F.col("segment_id").isin(ids))
+            segments = segments.where(f"segment_id IN ({', '.join(map(str, ids))})" if ids else "false")  # parsed at once, not literal by literal
         elif near is not None:
             segments = segments.join(near.select(F.explode("ids").alias("segment_id")), "segment_id", "left_semi")
         return exams, segments
