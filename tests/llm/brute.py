@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from wordloom.llm import langid, linetemplates
+from wordloom.llm import langid
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,12 +62,12 @@ def templates(line):
         size = -(-(n - 3) // 3)
         thirds = [set(range(3 + k * size, min(3 + (k + 1) * size, n))) for k in range(3)]
         fields = [{0}, {1}, {2}] + thirds
-        if n >= linetemplates.WIDE:
+        if n >= 9:
             fields += [thirds[a] | thirds[b] for a, b in ((1, 2), (0, 2), (0, 1))]
     yield tuple(t), False
     for f in fields:
         if f:
-            yield (n, tuple(sorted(f)), tuple(w for i, w in enumerate(t) if i not in f)), n - len(f) < linetemplates.FIXED
+            yield (n, tuple(sorted(f)), tuple(w for i, w in enumerate(t) if i not in f)), n - len(f) < 5
 
 
 def shingles(text, lower=True):
@@ -93,7 +93,7 @@ def components(texts, num, den):
     return {d: top(d) for d in texts}
 
 
-def drop_lines(texts, min_docs=linetemplates.MIN_DOCS):
+def drop_lines(texts, min_docs=5):
     """doc_id -> its text less the lines of templates that enough documents hold, near copies counted once."""
     held, few = defaultdict(set), {}
     for d, t in texts.items():
@@ -102,10 +102,26 @@ def drop_lines(texts, min_docs=linetemplates.MIN_DOCS):
                 for sig, f in templates(line):
                     held[sig].add(d)
                     few[sig] = f
-    need = lambda s: min_docs * (linetemplates.FEW_FIXED if few[s] else 1)
+    need = lambda s: min_docs * (4 if few[s] else 1)
     some = {s for s, ds in held.items() if len({texts[d] for d in ds}) >= need(s)}
     of = components({d: texts[d] for s in some for d in held[s]}, 80, 100)
     gone = {s for s in some if len({of[d] for d in held[s]}) >= need(s)}
+    page = {d: ("group", of[d]) for s in some - gone for d in held[s]}
+    fold = lambda t: t.translate({i: i + 32 for i in range(65, 91)})
+    all_words, left = {}, {}
+    for d in page:
+        lines = fold(texts[d]).split("\n")
+        free = [not any(s in some for s, _ in templates(x)) for x in texts[d].split("\n")]
+        all_words[d] = [(w, f) for x, f in zip(lines, free, strict=True) for w in words(x)]
+        left[d] = tuple(w for w, f in all_words[d] if f)
+    for d in list(page):
+        others = [e for e in page if of[e] == of[d] and left[e] != left[d]]
+        pairs = {(x[0], y[0]) for e in others for x, y in zip(all_words[e], all_words[e][1:])}  # noqa: B905
+        rest = [x[1] and y[1] for x, y in zip(all_words[d], all_words[d][1:])]  # noqa: B905
+        lone = [r and (x[0], y[0]) not in pairs for r, x, y in zip(rest, all_words[d], all_words[d][1:])]  # noqa: B905
+        if any(all(lone[i : i + 4]) for i in range(len(lone) - 3)) and 4 * sum(lone) >= 3 * sum(rest):
+            page[d] = ("own", left[d])
+    gone |= {s for s in some - gone if len({page[d] for d in held[s]}) >= need(s)}
     keep = lambda line: not words(line) or all(s not in gone for s, _ in templates(line))
     return {d: None if t is None else "\n".join(x for x in t.split("\n") if keep(x)) for d, t in texts.items()}
 

@@ -149,6 +149,16 @@ def test_line_templates_keep_the_lines_of_near_copies(spark):
     assert all(r.n_dropped == 0 for r in got.values())
 
 
+def test_line_templates_of_pages_that_are_little_but_a_notice(spark):
+    notice = [own(200 + i, 10) for i in range(12)]
+    page = lambda i, n=8: "\n".join([*notice[:6], own(i, n), *notice[6:]])
+    got = dropped(spark, [(i, page(i)) for i in range(60)])
+    assert all(r.text == own(i, 8) and r.n_dropped == 12 for i, r in got.items())
+    copies = [(100 + i, page(0)) for i in range(30)] + [(200 + i, page(1).replace(" ", f" word{chr(97 + i)} ", 1)) for i in range(8)]
+    got = dropped(spark, [(i, page(i)) for i in range(4)] + copies + [(300 + i, page(i)) for i in range(4)])
+    assert all(r.n_dropped == 0 for r in got.values())  # four pages and their copies
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -11,10 +11,17 @@ generalised to ``<*>``.  In a leaf, lines are one template if their tokens agree
 So each line has one full signature and some with a field generalised, and a template is a signature that recurs.
 
 A template recurs if at least ``min_docs`` documents hold it, copies counted once, whatever stands around it and
-however many documents there are; one with a field whose fixed tokens are fewer than FIXED takes FEW_FIXED times as many.
+however many documents there are; one with a field whose fixed tokens are fewer than FIXED takes FEW_FIXED times as many,
+since lines of four words that share three of them by chance are common, and such lines are a text's own.
 Candidates are templates of that many distinct texts; only documents that hold one are then grouped by the
 near-duplicate operator (similarity 0.8 of their 5-word shingles), and a group counts as one document, so that a text
-with many near copies keeps its own lines.  All lines of a recurring template are dropped.
+with many near copies keeps its own lines.  A page that is little but shared lines is alike to others by those lines
+alone, so what is left of it decides: where a template has too few groups, a document of them counts by itself if the lines
+of it that are no candidates are its own: no two neighbours of OWN words in a row, nor three in four of all their
+neighbours, are neighbours in another document of its group (of those that hold such a template; documents with the same
+such lines are one).  Edits of a copy change words here and there and leave the rest of a line as it was, so copies stay
+one document; pages that each have near copies of their own beside the shared lines stay one too.  All lines of a
+recurring template are dropped.
 
 Null and empty texts have no lines to drop and come back as they are.  Blank lines are kept and are no template.  Lines end
 at ``\\n``; tokens are the words of the other operators.  Rows with a null doc_id keep their text.  Repeated rows of one
@@ -37,6 +44,7 @@ from .kernels import U64
 LEAD, WIDE = 3, 9
 MIN_DOCS = 5
 FIXED, FEW_FIXED = 5, 4
+OWN = 5
 BROADCAST, SALTS = 500_000, 16
 _PLACE = U64(0x9E3779B97F4A7C15)
 
@@ -100,29 +108,83 @@ def _parse(batches):
             })
 
 
-def _in_documents(found: DataFrame, column: str, min_docs: int) -> DataFrame:
-    """Signatures with enough distinct values of column."""
+def _enough(found: DataFrame, column: str, min_docs: int) -> DataFrame:
+    """Signatures, and whether they have enough distinct values of column."""
     counted = found.select("sig", "few", column).distinct().groupBy("sig", "few").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= F.when(F.col("few"), FEW_FIXED * min_docs).otherwise(min_docs)).select("sig")
+    return counted.select("sig", (F.col("n") >= F.when(F.col("few"), FEW_FIXED * min_docs).otherwise(min_docs)).alias("enough"))
 
 
 def _holding(found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Rows of found with one of these signatures."""
+    """Rows of found with one of these signatures, and the other columns of those."""
     sigs = common.materialize(sigs, "recurring")
     if sigs.count() <= BROADCAST:
-        return found.join(F.broadcast(sigs), "sig", "left_semi")
+        return found.join(F.broadcast(sigs), "sig")
     sigs = sigs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(sigs, ["sig", "_salt"], "left_semi").drop("_salt")
+    return found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(sigs, ["sig", "_salt"]).drop("_salt")
+
+
+def _neighbours(whole: bool):
+    """Pairs of neighbouring words of the texts, or of what is left of them without the lines ``held``, in their places."""
+
+    def run(batches):
+        for batch in batches:
+            for part in kernels.slices(batch):
+                words = kernels.Words(part.column("text"), lower=True)
+                doc, n = words.doc(), part.num_rows
+                breaks = np.concatenate([[0], np.cumsum(words.buf == 10)])
+                line = breaks[words.start] + doc  # no two texts share a number
+                held = part.column("held").combine_chunks() if isinstance(part, pa.Table) else part.column("held")
+                owner = np.asarray(held.value_parent_indices())
+                gone = np.zeros(int(breaks[-1]) + n + 1, bool)
+                gone[breaks[words.text_off[owner]] + owner + np.asarray(held.flatten(), dtype=np.int64)] = True
+                left = ~gone[line]
+                rank = np.cumsum(left)
+                sums = np.append(U64(0), np.cumsum(np.where(left, kernels.mix(words.hash + (rank - np.append(0, rank)[words.off[doc]]).astype(U64) * _PLACE, 33), U64(0)), dtype=U64))
+                rest = kernels.mix(sums[words.off[1:]] - sums[words.off[:-1]], 34)
+                pair = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
+                at = np.flatnonzero(pair if whole else pair & left[1:] & left[:-1])
+                gram = kernels.mix(words.hash[at] * U64(0xC2B2AE3D27D4EB4F) + words.hash[at + 1], 35) if len(at) else np.zeros(0, U64)
+                of = doc[at]
+                out = {"component": pa.array(np.asarray(part.column("component"))[of]), "gram": pa.array(gram.view(np.int64)), "rest": pa.array(rest[of].view(np.int64))}
+                if not whole:
+                    copy = words.range_hash(words.text_off[:-1], words.text_off[1:])
+                    out |= {"doc_id": pa.array(np.asarray(part.column("doc_id"))[of]), "copy": pa.array(copy[of].view(np.int64)), "at": pa.array((at - words.off[of]).astype(np.int32)), "size": pa.array(np.bincount(of, minlength=n)[of])}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def _with_own_rest(texts: DataFrame) -> DataFrame:
+    """doc_id, rest: documents whose words beside their held lines are their own, and a hash of those words.
+
+    texts: component, doc_id, text, held (numbers of lines).
+    """
+    kind = "component long, gram long, rest long"
+    lone = texts.mapInArrow(_neighbours(True), kind).groupBy("component", "gram").agg(F.min("rest").alias("rest"), F.max("rest").alias("last")).where("rest = last").select("component", "gram")
+    left = texts.mapInArrow(_neighbours(False), f"{kind}, doc_id long, copy long, at int, size long").join(lone, ["component", "gram"], "left_semi")
+    starts = left.select("doc_id", "copy", "rest", "size", F.explode(F.array(*[F.col("at") - i for i in range(OWN - 1)])).alias("at"))
+    runs = starts.groupBy("doc_id", "copy", "rest", "size", "at").agg(F.count(F.lit(1)).alias("n"))
+    own = runs.groupBy("doc_id", "copy", "rest", "size").agg(F.max("n").alias("run"), F.sum("n").alias("all")).where((F.col("run") == OWN - 1) & (4 * F.col("all") >= 3 * (OWN - 1) * F.col("size")))
+    return own.groupBy("doc_id").agg(F.min("rest").alias("rest"))
 
 
 def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, line of the templates that recur; rows (doc_id, text) have no null."""
     parsed = common.materialize(rows.mapInArrow(_parse, "sig long, few boolean, doc_id long, copy long, line int"), "templates")
-    held = common.materialize(_holding(parsed.select("sig", "few", "doc_id", "line"), _in_documents(parsed, "copy", min_docs)), "held")
+    held = common.materialize(_holding(parsed.select("sig", "few", "doc_id", "line"), _enough(parsed, "copy", min_docs).where("enough").select("sig")), "held")
     common.discard(parsed)
     holders = rows.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
     groups = neardup.near_duplicates(holders, **neardup.STAGE).groupBy("doc_id").agg(F.min("component_id").alias("component"))
-    return _holding(held, _in_documents(held.join(groups, "doc_id"), "component", min_docs)).select("doc_id", "line")
+    groups = common.materialize(groups, "groups")
+    judged = _holding(held, _enough(held.join(groups, "doc_id"), "component", min_docs))
+    open_ = common.materialize(judged.where("not enough").select("sig", "few", "doc_id", "line"), "undecided")
+    lines = held.groupBy("doc_id").agg(F.collect_set("line").alias("held"))
+    texts = rows.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").join(groups, "doc_id").join(lines, "doc_id")
+    texts = common.materialize(texts.select("component", "doc_id", "text", "held"), "undecided-texts")
+    own = _with_own_rest(texts)
+    counted = open_.join(groups, "doc_id").join(own, "doc_id", "left").withColumn("page", F.when(F.col("rest").isNull(), F.xxhash64(F.lit(0), "component")).otherwise(F.xxhash64(F.lit(1), "rest")))
+    more = _holding(open_, _enough(counted, "page", min_docs).where("enough").select("sig"))
+    return judged.where("enough").select("doc_id", "line").unionByName(more.select("doc_id", "line"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
