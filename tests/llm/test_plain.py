@@ -46,7 +46,8 @@ def test_languages_ties_many_and_unlike(spark):
     assert {r.lang_pred for r in langid.predict(twins, langid.fit(twins)).collect()} == {"b"}
     many = frame(spark, [(i, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)}", f"l{i:04d}") for i in range(1200)], "doc_id long, text string, lang string")
     model = langid.fit(many)
-    assert len(model.langs) == 1200 and model.logp.size <= langid.MODEL_CELLS
+    assert len(model.langs) == 1200 and len(model.groups) > 1
+    assert all(g.value.logp.size <= langid.MODEL_CELLS and g.value.logp.shape[1] == 2**langid.BITS for g in model.groups)
     assert langid.predict(many, model).join(many.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").count() > 1150
     known = frame(spark, [(i, "the quick brown fox and the lazy dog", "en") for i in range(3000)] + [(5000 + i, "der schnelle braune fuchs und der faule hund", "de") for i in range(3000)], "doc_id long, text string, lang string")
     asked = frame(spark, [(1, "the brown dog and the fox", None), (2, "γρήγορη καφέ αλεπού και σκύλος", None), (3, "der hund und der fuchs", None), (4, None, "en"), (5, "12 34", "en")], "doc_id long, text string, lang string")
@@ -54,6 +55,17 @@ def test_languages_ties_many_and_unlike(spark):
     assert kept() == [1, 3] and kept(languages=["en"]) == [1] and kept(languages=["und"]) == []
 
 
+def test_languages_alike_in_one_group_and_in_several(spark, documents):
+    whole, cut = langid.fit(documents), langid.fit(documents, cells=2**langid.BITS * 2)
+    assert len(whole.groups) == 1 and len(cut.groups) == 2
+    odd = frame(spark, [(1, None, "en"), (2, "", "en"), (None, "12 34", "en"), (3, "the the of", None), (3, "the the of", None)], "doc_id long, text string, lang string")
+    rows = documents.select("doc_id", "text", "lang").unionByName(odd)
+    a, b = ([(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(rows, m).collect()] for m in (whole, cut))
+    assert sorted(map(repr, a)) == sorted(map(repr, b)) and len(a) == rows.count()
+    a, b = (sorted(map(repr, langid.keep_known(rows, m, languages=["en", "fr"]).collect())) for m in (whole, cut))
+    assert a == b and 0 < len(a) < rows.count()
+
+
 def test_repeats_whose_first_64_bits_collide(monkeypatch):
     def all_alike(words, window, old=substring._run_hashes):
         a, b, owner, first = old(words, window)

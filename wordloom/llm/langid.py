@@ -1,8 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counting and scoring are vectorised per Arrow batch.  Counts of each task are added up by (language, slice of the
-feature space) before the model reaches the driver.  Languages x features is MODEL_CELLS at most, for any number of languages:
-with more than MODEL_CELLS / 2 ** BITS of them, features get fewer bits.  A task holds HELD_LANGUAGES counters at a time.
+feature space) before the model reaches the driver.  The features are the same for any number of languages.  The model is
+cut into groups of languages, by name, of MODEL_CELLS cells at most, which are fetched and broadcast one by one; with more
+than one, each group scores the texts in tasks of its own, and scores are brought together by the text's digest.
+A task holds HELD_LANGUAGES counters, or one group, at a time.
 
 A text is lower-cased; anything but letters counts as a word break.  Null texts and texts without a letter get
 ``und`` and score 0.  Rows without a language teach nothing; rows that repeat teach, and are scored, each.  Among languages
@@ -12,6 +14,7 @@ of equal score the first by name is taken.  With no labelled row at all, everyth
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ BITS = 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
 SLICES = 16
-#: Cells of the model at most (8 bytes each), which bounds what is collected and broadcast.
+#: Cells of a group of languages at most (8 bytes each), which bounds what is collected and broadcast at a time.
 MODEL_CELLS = 1 << 25
 HELD_LANGUAGES = 64
 _letters: list[np.ndarray] = []
@@ -116,16 +119,15 @@ def _add(bits: int):
     return run
 
 
-class Model:
-    """Learned languages and their log-probability matrix (languages x features)."""
+class Scores:
+    """Some learned languages and their log-probability matrix (languages x features)."""
 
     def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
         self.langs, self.logp, self.prior = langs, logp, prior
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, its posterior, and its log-probability of an n-gram of the text, on average."""
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The best language, its score, the sum of all scores (both as logarithms), and its log-probability of an n-gram
+        of the text, on average; texts without a letter have `und` and -inf."""
         bits = int(self.logp.shape[1]).bit_length() - 1
         orders, letters = ngrams(texts, bits)
         scores, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
@@ -136,36 +138,85 @@ class Model:
                 scores[full, i] += np.add.reduceat(self.logp[i][ids], off[:-1][full])
         scores += self.prior
         best = scores.argmax(1)
-        top = 1 / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
+        top = scores.max(1)
+        total = top + np.log(np.exp(scores - top[:, None]).sum(1))
         known = letters > 0
-        mean = np.where(known, (scores[np.arange(len(texts)), best] - self.prior[best]) / np.maximum(size, 1), 0.0)
-        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, top, 0.0), mean
+        mean = np.where(known, (top - self.prior[best]) / np.maximum(size, 1), 0.0)
+        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, top, -np.inf), np.where(known, total, 0.0), mean
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The best language, its posterior among these, and the mean of ``judge``."""
+        lang, top, total, mean = self.judge(texts)
+        return lang, np.exp(top - total), mean
+
+
+class Model:
+    """Learned languages, by name, and their broadcast groups."""
 
+    def __init__(self, langs: list[str], groups: list, bits: int):
+        self.langs, self.groups, self.bits = langs, groups, bits
 
-def fit(docs: DataFrame, bits: int = BITS) -> Model:
+
+def fit(docs: DataFrame, bits: int = BITS, cells: int = MODEL_CELLS) -> Model:
     """Learn from every row with a text and a language."""
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    n = rows.select("lang").distinct().count()
-    bits = min(bits, max(4, (MODEL_CELLS // max(n, 1)).bit_length() - 1))
-    parts = rows.mapInArrow(_count(bits), "lang string, part int, docs long, counts binary")
-    found = parts.groupBy("lang", "part").applyInArrow(_add(bits), "lang string, part int, docs long, counts binary").collect()
-    langs = sorted({r["lang"] for r in found})
-    at = {x: i for i, x in enumerate(langs)}
-    counts, docs_of = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
-    step = (1 << bits) // SLICES
-    for r in found:
-        counts[at[r["lang"]], r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
-        docs_of[at[r["lang"]]] = r["docs"]
-    logp = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * counts.shape[1]) if langs else counts
-    return Model(langs, logp, np.log(docs_of / docs_of.sum()) if langs else docs_of)
+    kind = "lang string, part int, docs long, counts binary"
+    found = common.materialize(rows.mapInArrow(_count(bits), kind).groupBy("lang", "part").applyInArrow(_add(bits), kind), "languages")
+    docs_of = {r["lang"]: r["docs"] for r in found.where("part = 0").select("lang", "docs").collect()}
+    langs, total = sorted(docs_of), sum(docs_of.values())
+    step, most, groups = (1 << bits) // SLICES, max(1, cells >> bits), []
+    for at in range(0, len(langs), most):
+        some = langs[at : at + most]
+        row_of, counts = {x: i for i, x in enumerate(some)}, np.zeros((len(some), 1 << bits))
+        for r in found.select("lang", "part", "counts").where(F.col("lang").isin(some) if len(langs) > most else F.lit(True)).toLocalIterator():
+            counts[row_of[r["lang"]], r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
+        logp = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * counts.shape[1])
+        groups.append(spark.sparkContext.broadcast(Scores(some, logp, np.log(np.array([docs_of[x] for x in some]) / total))))
+    common.discard(found)
+    return Model(langs, groups, bits)
+
+
+def _judged(texts: DataFrame, model: Model) -> DataFrame:
+    """lang_pred, score, mean of each digest of the texts (digest, text), over several groups of languages."""
+
+    def scored(number, sent):
+        def run(batches):
+            for batch in batches:
+                for part in kernels.slices(batch):
+                    lang, top, total, mean = sent.value.judge(part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_pydict({"digest": part.column("digest"), "number": pa.array([number] * part.num_rows, pa.int32()), "lang": pa.array(lang, pa.string()), "top": pa.array(top), "total": pa.array(total), "mean": pa.array(mean)})
+
+        return texts.mapInArrow(run, "digest string, number int, lang string, top double, total double, mean double")
+
+    parts = [scored(i, g) for i, g in enumerate(model.groups)]
+    every = reduce(DataFrame.unionByName, parts).groupBy("digest", "number").agg(F.first(F.struct("top", (-F.col("number")).alias("o"), "lang", "total", "mean")).alias("s"))
+    best = every.groupBy("digest").agg(F.max("s").alias("b"), F.collect_list("s.total").alias("totals"))
+    posterior = 1 / F.aggregate("totals", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("b.top")))
+    return best.select("digest", F.col("b.lang").alias("lang_pred"), F.when(F.col("b.lang") == "und", 0.0).otherwise(posterior).alias("score"), F.col("b.mean").alias("mean"))
+
+
+#: The one column of this operator's own beside those of docs, where it joins.
+_OWN = "_wordloom_language"
+
+
+def _with_verdicts(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs with a column _OWN (lang_pred, score, mean)."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    judged = _judged(docs.select(digest.alias("digest"), "text"), model).select(F.struct("digest", "lang_pred", "score", "mean").alias(_OWN))
+    return docs.join(judged, digest == F.col(f"{_OWN}.digest"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (posterior of lang_pred) of every row; nothing but the text is looked at."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    common.small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not model.langs:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    if len(model.groups) > 1:
+        return _with_verdicts(docs, model).select("doc_id", f"{_OWN}.lang_pred", f"{_OWN}.score")
+    sent = model.groups[0]
 
     def run(batches):
         for batch in batches:
@@ -173,21 +224,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 pred, score, _ = sent.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5, languages: Collection[str] | None = None) -> DataFrame:
-    """Rows of docs, all columns, whose text is in a learned language (one of ``languages``, if given); one pass, no shuffle.
+    """Rows of docs, all columns, whose text is in a learned language (one of ``languages``, if given); one pass, no
+    shuffle, while one group holds all languages.
 
     The language's posterior is ``min_score`` or more, and the text is likelier in it than if all n-grams were equally
     likely: the posterior of a long text says which language is closest, even if none is close.  A text that is null or
     has no letter has no language and is rejected.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
-    least = -float(np.log(model.logp.shape[1])) if model.langs else 0.0
+    common.small_batches(docs.sparkSession)
+    least = -float(np.log(1 << model.bits))
     wanted = frozenset(model.langs if languages is None else languages) - {"und"}
+    if not model.langs:
+        return docs.where(F.lit(False))
+    if len(model.groups) > 1:
+        v = F.col(_OWN)
+        return _with_verdicts(docs, model).where(v["lang_pred"].isin(*wanted) & (v["score"] >= min_score) & (v["mean"] > least)).select(*docs.columns)
+    sent = model.groups[0]
 
     def run(batches):
         for batch in batches:
