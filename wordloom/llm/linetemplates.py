@@ -27,8 +27,8 @@ Null and empty texts have no lines to drop and come back as they are.  Blank lin
 at ``\\n``; tokens are the words of the other operators.  Rows with a null doc_id keep their text.  Repeated rows of one
 doc_id count as one document and each lose the lines that any of them would.  A column of docs named as one of
 the two counts is replaced by it (the names are parameters); other columns stay.  Counting is by signature and text first, so one very common line is
-spread over many groups; recurring signatures are broadcast up to BROADCAST of them (counted first), and beyond that
-joined with each signature dealt over SALTS tasks.
+spread over many groups; recurring signatures, and ids of documents that hold one, are broadcast up to BROADCAST of them (counted first);
+beyond that signatures are joined with each dealt over SALTS tasks, and ids by a plain join.
 """
 
 from __future__ import annotations
@@ -108,10 +108,14 @@ def _parse(batches):
             })
 
 
+def _need(min_docs: int):
+    return F.when(F.col("few"), FEW_FIXED * min_docs).otherwise(min_docs)
+
+
 def _enough(found: DataFrame, column: str, min_docs: int) -> DataFrame:
     """Signatures, and whether they have enough distinct values of column."""
     counted = found.select("sig", "few", column).distinct().groupBy("sig", "few").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("sig", (F.col("n") >= F.when(F.col("few"), FEW_FIXED * min_docs).otherwise(min_docs)).alias("enough"))
+    return counted.select("sig", (F.col("n") >= _need(min_docs)).alias("enough"))
 
 
 def _holding(found: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -123,6 +127,11 @@ def _holding(found: DataFrame, sigs: DataFrame) -> DataFrame:
     return found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(sigs, ["sig", "_salt"]).drop("_salt")
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of these documents: up to BROADCAST ids are sent to the rows, so that texts stay where they are."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
+
+
 def _neighbours(whole: bool):
     """Pairs of neighbouring words of the texts, or of what is left of them without the lines ``held``, in their places."""
 
@@ -171,15 +180,20 @@ def _with_own_rest(texts: DataFrame) -> DataFrame:
 def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, line of the templates that recur; rows (doc_id, text) have no null."""
     parsed = common.materialize(rows.mapInArrow(_parse, "sig long, few boolean, doc_id long, copy long, line int"), "templates")
-    held = common.materialize(_holding(parsed.select("sig", "few", "doc_id", "line"), _enough(parsed, "copy", min_docs).where("enough").select("sig")), "held")
+    # Most signatures have one line: counting lines first leaves few whose texts must be told apart.
+    often = parsed.groupBy("sig", "few").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _need(min_docs)).select("sig")
+    often = common.materialize(_holding(parsed, often), "often")
     common.discard(parsed)
-    holders = rows.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = common.materialize(_holding(often.drop("copy"), _enough(often, "copy", min_docs).where("enough").select("sig")), "held")
+    common.discard(often)
+    holders = _of(rows, common.materialize(held.select("doc_id").distinct(), "ids"))
     groups = neardup.near_duplicates(holders, **neardup.STAGE).groupBy("doc_id").agg(F.min("component_id").alias("component"))
     groups = common.materialize(groups, "groups")
     judged = _holding(held, _enough(held.join(groups, "doc_id"), "component", min_docs))
     open_ = common.materialize(judged.where("not enough").select("sig", "few", "doc_id", "line"), "undecided")
-    lines = held.groupBy("doc_id").agg(F.collect_set("line").alias("held"))
-    texts = rows.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").join(groups, "doc_id").join(lines, "doc_id")
+    ids = common.materialize(open_.select("doc_id").distinct(), "undecided-ids")
+    lines = _of(held.select("doc_id", "line"), ids).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("held"))
+    texts = _of(rows, ids).join(lines.join(_of(groups, ids), "doc_id"), "doc_id")
     texts = common.materialize(texts.select("component", "doc_id", "text", "held"), "undecided-texts")
     own = _with_own_rest(texts)
     counted = open_.join(groups, "doc_id").join(own, "doc_id", "left").withColumn("page", F.when(F.col("rest").isNull(), F.xxhash64(F.lit(0), "component")).otherwise(F.xxhash64(F.lit(1), "rest")))
