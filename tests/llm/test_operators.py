@@ -85,6 +85,17 @@ def test_neardup_blocks_find_links_of_a_family(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in sets}
 
 
+def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
+    def text(name, tail=""):
+        return " ".join(f"{name}{i}" for i in range(60)) + tail
+
+    docs = [(5, text("a")), (5, text("b")), (7, text("a", " z")), (9, text("b", " z")), (3, text("c")), (4, text("d")), (8, text("c")), (8, text("d")), (11, text("d", " y")), (12, text("e"))]
+    docs += [(-2, text("f")), (-2, text("g")), (-1, text("g", " z")), (6, text("g", " y"))]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(5, 5), (7, 5), (9, 5), (3, 3), (4, 3), (8, 3), (11, 3), (12, 12), (-2, -2), (-1, -2), (6, -2)}
+    assert got.count() == len(docs)
+
+
 def test_near_duplicate_stage_drops_from_0_8_up(spark):
     words = [f"w{i}" for i in range(400)]
     docs = [(1, words[:100]), (2, words[:83]), (3, words[200:324]), (4, words[200:300]), (5, words[340:400]), (6, words[340:386])]

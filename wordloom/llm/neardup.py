@@ -15,8 +15,9 @@ Exact checks read texts in blocks of BLOCK members, sorted by block and streamed
 
 Nulls: a null doc_id is dropped; a null or blank text has an empty set and is linked with nothing.  Ties: among members
 that share equally many buckets the smallest doc_id is the centre.  Rows that repeat a doc_id: the result has one row of
-that id for each; if their texts differ, sets of one doc_id are one node, whose links are those of its largest set among
-those it is the smallest holder of.  Extra columns are ignored.
+that id for each; if their texts differ, each set is a node with its own links, and sets of one doc_id are linked, being
+one document.  A node is the smallest doc_id of its class or, where that id has several classes, a larger number by a hash
+of the set for all but one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ HASHES = 256
 BLOCK = 500
 #: Settings where op8's contract of 0.85 does not bind: similarity 0.8 or more, and a floor five deviations below it.
 STAGE = {"num": 80, "den": 100, "floor": 0.67}
+#: Columns that tell one set from another.
+SET = ["n_shingles", "f1", "f2"]
 U32 = np.uint32
 
 
@@ -205,9 +208,27 @@ def _links(members: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
 
 
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted documents' texts, fetched once.  The ids grow with the input, so this is a merge join at every size."""
-    found = texts.join(wanted.select("doc_id", "row").hint("merge"), ["doc_id", "row"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    return common.materialize(found, "texts")
+    """The wanted nodes' texts, as doc_id, fetched once.  The ids grow with the input, so this is a merge join at every size."""
+    rows = wanted.select(F.col("holder").alias("doc_id"), "row", F.col("doc_id").alias("node"))
+    found = texts.join(rows.hint("merge"), ["doc_id", "row"]).groupBy("node").agg(F.first("text").alias("text"))
+    return common.materialize(found.withColumnRenamed("node", "doc_id"), "texts")
+
+
+def _classes(full: DataFrame) -> DataFrame:
+    """n_shingles, f1, f2, rep, node: the smallest doc_id of each set, and what stands for the set."""
+    classes = full.groupBy(*SET).agg(F.min("doc_id").alias("rep"))
+    first = classes.groupBy("rep").agg(F.max(F.struct(*SET)).alias("first"))
+    # Larger than rep, so that the smallest node of a component is a doc_id: a set's rep is linked with it.
+    above = F.least(F.greatest("rep", F.lit(0)), F.lit((1 << 63) - 2))
+    other = above + 1 + F.pmod(F.xxhash64(*SET), F.lit((1 << 63) - 1) - above)
+    node = F.when(F.struct(*SET) == F.col("first"), F.col("rep")).otherwise(other)
+    return common.materialize(classes.join(first, "rep").select(*SET, "rep", node.alias("node")), "classes")
+
+
+def _repeated(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of one doc_id; nodes: doc_id, node."""
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    return nodes.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _around(near: DataFrame, block: int) -> DataFrame:
@@ -225,23 +246,27 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
     common.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
     sigs = common.materialize(texts.mapInArrow(_signatures(n_hashes, bands, rows), "doc_id long, row long, n_shingles long, f1 long, f2 long, sig binary, keys binary"), "signatures")
-    full, same = sigs.where("n_shingles > 0"), ["n_shingles", "f1", "f2"]
-    classes = common.materialize(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    reps = reps.groupBy("doc_id").agg(F.max_by(F.struct("sig", "keys", "row"), F.struct(*same, "row")).alias("r")).select("doc_id", "r.*")
+    full = sigs.where("n_shingles > 0")
+    classes = _classes(full)
+    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), [*SET, "doc_id"])
+    reps = reps.groupBy(F.col("node").alias("doc_id")).agg(F.max_by(F.struct("sig", "keys", F.col("doc_id").alias("holder"), "row"), "row").alias("r")).select("doc_id", "r.*")
     keys = reps.select("doc_id", "keys").mapInArrow(_explode_keys(bands), "key long, band int, doc_id long")
     keys = common.materialize(_shared(keys), "bands")
     # A document of a band key that repeats is rare: only those signatures are kept at hand.
     reps = common.materialize(reps.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     texts = _texts(texts, reps)
-    reps = reps.drop("row")
+    held = reps
+    reps = reps.drop("holder", "row")
     weight = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
     centre = keys.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", (-F.col("doc_id")).alias("o"))).alias("c"))
     pairs = keys.join(centre, "key").where("doc_id <> c").groupBy(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).agg(F.max("c").alias("c"))
     s = reps.select("doc_id", "sig")
     near = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b").mapInArrow(_agreeing(n_hashes, floor), "a long, b long, c long")
     near = common.materialize(near, "pairs")
-    edges, comp = _grow(None, _links(_around(near, block), texts, num, den))
+    repeated = _repeated(full.join(classes, SET).select("doc_id", "node"))
+    found = _links(_around(near, block), texts, num, den)
+    edges, comp = _grow(repeated, found)
+    common.discard(near, found)
 
     members = common.materialize(_open_members(keys, comp), "open")
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
@@ -253,9 +278,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
     )
     near = common.materialize(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs(n_hashes, floor), "key long, i int, j int, doc_id long, partners array<long>"), "partners")
     apart = near.select(F.xxhash64("key", "i", "j").alias("block"), "doc_id", "partners")
-    _, comp = _grow(edges, _links(apart, texts, num, den))
-    merged = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(merged, same, "left")
+    found = _links(apart, texts, num, den)
+    last, (_, comp) = comp, _grow(edges, found)
+    common.discard(last, near, found, members, keys, held, texts)
+    merged = classes.join(comp, "node", "left").select(*SET, F.coalesce("component", "rep").alias("component"))
+    out = sigs.select("doc_id", *SET).join(merged, SET, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -271,8 +298,9 @@ def _open_members(keys: DataFrame, comp: DataFrame) -> DataFrame:
     return now.join(mixed, "key", "left_semi")
 
 
-def _grow(edges: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    edges = more if edges is None else edges.unionByName(more)
+def _grow(edges: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components with more edges; and edges that stand for them."""
+    edges = edges.unionByName(more)
     comp = common.materialize(components.connected(edges), "components")
     return comp.select(F.col("node").alias("a"), F.col("component").alias("b")), comp
 
