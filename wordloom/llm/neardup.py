@@ -53,8 +53,9 @@ def shingle_sets(text) -> tuple[np.ndarray, np.ndarray]:
     words = kernels.Words(text, lower=True)
     h, owner, _ = kernels.windows(words, SHINGLE, short_whole=True)
     n_docs = len(words.off) - 1
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    cuts = np.searchsorted(owner, np.arange(n_docs + 1))
+    for d in range(n_docs):
+        h[cuts[d] : cuts[d + 1]].sort()
     new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
     h, owner = h[new], owner[new]
     return h, np.searchsorted(owner, np.arange(n_docs + 1))
@@ -76,8 +77,11 @@ def _signatures(n_hashes: int, bands: int, rows: int):
                     f1[full] = np.add.reduceat(kernels.mix(h, 5), at)
                     f2[full] = np.add.reduceat(kernels.mix(h, 6), at)
                     x = (h >> U64(32)).astype(np.uint32)
+                    value = np.empty_like(x)
                     for k in range(n_hashes):
-                        minima[full, k] = np.minimum.reduceat(x * mult[k] + add[k], at)
+                        np.multiply(x, mult[k], out=value)
+                        value += add[k]
+                        minima[full, k] = np.minimum.reduceat(value, at)
                 keys = _band_keys(minima[:, : bands * rows].reshape(-1, bands, rows).astype(U64))
                 blobs = lambda x: pa.array([v.tobytes() if s else None for v, s in zip(x, sizes, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict({
